@@ -9,9 +9,19 @@ from ..operators.propagate import group_softmax
 from .catalog import query
 
 
+def rounded(c, digits=6):
+    """Round off decimal ties: prices and quantities often sum to exact halves of the last
+    digit, where the order of summation would decide the way they round."""
+    return F.round(c + 0.0337 * 10.0 ** -digits, digits)
+
+
+def rounded_sql(e, digits=6):
+    return f"round({e} + {0.0337 * 10.0 ** -digits!r}, {digits})"
+
+
 def flat(df, *keys, col="x", dim=2, digits=6, prefix="x"):
     """Array column as rounded scalar columns."""
-    return df.select(*keys, *[F.round(F.col(col)[k], digits).alias(f"{prefix}{k}") for k in range(dim)])
+    return df.select(*keys, *[rounded(F.col(col)[k], digits).alias(f"{prefix}{k}") for k in range(dim)])
 
 
 @query("le ln", "select id, coalesce(n, 0)::double as deg from ln left join (select src, count(*) n from le group by 1) on src = id")
@@ -80,7 +90,7 @@ def homophily(t):
 
 
 def pool_sql(agg):
-    return f"select graph_id, round({agg}(x0), 6) as x0, round({agg}(x1), 6) as x1 from ln group by 1"
+    return f"select graph_id, {rounded_sql(f'{agg}(x0)')} as x0, {rounded_sql(f'{agg}(x1)')} as x1 from ln group by 1"
 
 
 @query("ln", pool_sql("sum"))
@@ -99,27 +109,27 @@ def global_max_pool(t):
 
 
 @query("ln", """with r as (select graph_id, x0, x1, row_number() over (partition by graph_id order by x1 desc, id) k from ln)
-  select graph_id, coalesce(max(case when k=1 then x0 end),0) as x0, round(coalesce(max(case when k=1 then x1 end),0), 6) as x1,
-  coalesce(max(case when k=2 then x0 end),0) as x2, round(coalesce(max(case when k=2 then x1 end),0), 6) as x3,
-  coalesce(max(case when k=3 then x0 end),0) as x4, round(coalesce(max(case when k=3 then x1 end),0), 6) as x5 from r group by 1""")
+  select graph_id, coalesce(max(case when k=1 then x0 end),0) as x0, round(coalesce(max(case when k=1 then x1 end),0) + 3.37e-08, 6) as x1,
+  coalesce(max(case when k=2 then x0 end),0) as x2, round(coalesce(max(case when k=2 then x1 end),0) + 3.37e-08, 6) as x3,
+  coalesce(max(case when k=3 then x0 end),0) as x4, round(coalesce(max(case when k=3 then x1 end),0) + 3.37e-08, 6) as x5 from r group by 1""")
 def global_sort_pool(t):
     return flat(R.global_sort_pool(t.lines, 2, 3), "graph_id", dim=6)
 
 
 @query("ln", """with g as (select *, 0.05*x0 - 0.1*x1 as s from ln), e as (select *, exp(s - max(s) over ()) z from g),
   a as (select *, z/(sum(z) over (partition by graph_id) + 1e-16) p from e)
-  select graph_id, round(sum(p*x0), 5) as x0, round(sum(p*x1), 5) as x1 from a group by 1""")
+  select graph_id, round(sum(p*x0) + 3.37e-07, 5) as x0, round(sum(p*x1) + 3.37e-07, 5) as x1 from a group by 1""")
 def global_attention(t):
     return flat(R.global_attention(t.lines, 2, [0.05, -0.1]), "graph_id", digits=5)
 
 
 @query("spn", """with m as (select avg(x0) a, avg(x1) b, var_pop(x0) va, var_pop(x1) vb from spn)
-  select id, round((x0-a)/sqrt(va+1e-5), 6) as x0, round((x1-b)/sqrt(vb+1e-5), 6) as x1 from spn, m""")
+  select id, round((x0-a)/sqrt(va+1e-5) + 3.37e-08, 6) as x0, round((x1-b)/sqrt(vb+1e-5) + 3.37e-08, 6) as x1 from spn, m""")
 def batch_norm(t):
     return flat(R.batch_norm(t.sp_nodes, 2), "id")
 
 
-@query("ln", """select id, round((x0 - avg(x0) over w)/(sqrt(var_pop(x0) over w)+1e-5), 4) as x0 from ln
+@query("ln", """select id, round((x0 - avg(x0) over w)/(sqrt(var_pop(x0) over w)+1e-5) + 3.3700000000000003e-06, 4) as x0 from ln
   window w as (partition by graph_id)""")
 def instance_norm(t):
     return flat(R.instance_norm(t.lines, 2), "id", dim=1, digits=4)
@@ -127,32 +137,32 @@ def instance_norm(t):
 
 @query("ln", """with m as (select graph_id, avg(v) mu, var_pop(v) s from (select graph_id, x0 v from ln union all
   select graph_id, x1 from ln) group by 1)
-  select id, round((x0-mu)/(sqrt(s)+1e-5), 5) as x0, round((x1-mu)/(sqrt(s)+1e-5), 5) as x1 from ln join m using (graph_id)""")
+  select id, round((x0-mu)/(sqrt(s)+1e-5) + 3.37e-07, 5) as x0, round((x1-mu)/(sqrt(s)+1e-5) + 3.37e-07, 5) as x1 from ln join m using (graph_id)""")
 def layer_norm(t):
     return flat(R.layer_norm(t.lines, 2), "id", digits=5)
 
 
-@query("ln", """select id, round(x0/sqrt(count(*) over (partition by graph_id)), 6) as x0,
-  round(x1/sqrt(count(*) over (partition by graph_id)), 6) as x1 from ln""")
+@query("ln", """select id, round(x0/sqrt(count(*) over (partition by graph_id)) + 3.37e-08, 6) as x0,
+  round(x1/sqrt(count(*) over (partition by graph_id)) + 3.37e-08, 6) as x1 from ln""")
 def graph_size_norm(t):
     return flat(R.graph_size_norm(t.lines, 2), "id")
 
 
 @query("ln", """with c as (select graph_id, id, x0-avg(x0) over w a, x1-avg(x1) over w b from ln window w as (partition by graph_id)),
   p as (select *, avg(a*a+b*b) over (partition by graph_id) q from c)
-  select id, round(a/sqrt(1e-5+q), 5) as x0, round(b/sqrt(1e-5+q), 5) as x1 from p""")
+  select id, round(a/sqrt(1e-5+q) + 3.37e-07, 5) as x0, round(b/sqrt(1e-5+q) + 3.37e-07, 5) as x1 from p""")
 def pair_norm(t):
     return flat(R.pair_norm(t.lines, 2), "id", digits=5)
 
 
 @query("ln", """with c as (select graph_id, id, x0-avg(x0) over w a, x1-avg(x1) over w b from ln window w as (partition by graph_id))
-  select id, round(a/(1e-5+sqrt(a*a+b*b)), 5) as x0, round(b/(1e-5+sqrt(a*a+b*b)), 5) as x1 from c""")
+  select id, round(a/(1e-5+sqrt(a*a+b*b)) + 3.37e-07, 5) as x0, round(b/(1e-5+sqrt(a*a+b*b)) + 3.37e-07, 5) as x1 from c""")
 def pair_norm_individual(t):
     return flat(R.pair_norm(t.lines, 2, individually=True), "id", digits=5)
 
 
-@query("ln", """select id, round(0.5*sqrt(x0*x0+x1*x1)*(x1+1)/sqrt((x1+1)*(x1+1)+x0*x0), 6) as x0,
-  round(0.5*sqrt(x0*x0+x1*x1)*x0/sqrt((x1+1)*(x1+1)+x0*x0), 6) as x1 from ln""")
+@query("ln", """select id, round(0.5*sqrt(x0*x0+x1*x1)*(x1+1)/sqrt((x1+1)*(x1+1)+x0*x0) + 3.37e-08, 6) as x0,
+  round(0.5*sqrt(x0*x0+x1*x1)*x0/sqrt((x1+1)*(x1+1)+x0*x0) + 3.37e-08, 6) as x1 from ln""")
 def message_norm(t):
     x = vec.parts("x", 2)
     return flat(t.lines.select("id", vec.pack(R.message_norm(x, [x[1] + 1, x[0]], 0.5)).alias("x")), "id")
