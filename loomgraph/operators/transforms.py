@@ -5,6 +5,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,14 +151,11 @@ def normalize_rotation(nodes: DataFrame, dim: int, by: str = "graph_id") -> Data
     """Rotate each graph to its principal axes (largest variance first, axis sign fixed so
     its largest component is positive). Only the small second-moment matrix leaves Spark's
     aggregation: the eigenvectors of one dim x dim matrix per graph."""
-    import numpy as np
-    import pandas as pd
     c = center(nodes, dim, by)
     ps = vec.parts("pos", dim)
     moments = c.groupBy(by).agg(F.array(*[F.sum(ps[a] * ps[b]) for a in range(dim)
                                           for b in range(dim)]).alias("s"))
 
-    @F.pandas_udf("array<double>")
     def axes(s: pd.Series) -> pd.Series:
         out = []
         for m in s:
@@ -166,7 +165,7 @@ def normalize_rotation(nodes: DataFrame, dim: int, by: str = "graph_id") -> Data
             out.append((v * np.where(sign_ == 0, 1, sign_)).ravel())
         return pd.Series(out)
 
-    turned = c.join(moments.select(by, axes("s").alias("_v")), by)
+    turned = c.join(moments.select(by, F.pandas_udf(axes, "array<double>")("s").alias("_v")), by)
     v = vec.parts("_v", dim * dim)
     return turned.withColumn("pos", vec.pack([vec.add_all(
         [ps[a] * v[a * dim + b] for a in range(dim)]) for b in range(dim)])).drop("_v")
