@@ -65,47 +65,64 @@ def _candidates(x: DataFrame, y: DataFrame, k: int | None, r: float | None) -> t
     return ys.select("cell", "id", "v"), cand
 
 
+def _nearest_rows(a: np.ndarray, b: np.ndarray, keep: int, limit: float):
+    """(query row, point row, squared distance) of each query's ``keep`` nearest within ``limit``,
+    plus ties. The fast product form picks candidates with a slack over its rounding; those are
+    then measured exactly."""
+    bb = (b * b).sum(axis=1)
+    slack = 1e-9 * (1.0 + np.abs(bb).max())
+    for lo in range(0, len(a), 256):
+        part = a[lo:lo + 256]
+        d = (part * part).sum(axis=1)[:, None] + bb[None, :] - 2.0 * part @ b.T
+        edge = np.partition(d, keep - 1, axis=1)[:, keep - 1] if keep < len(b) else np.full(len(part), np.inf)
+        rows, cols = np.nonzero(d <= np.minimum(edge, limit)[:, None] + slack)
+        yield lo + rows, cols, ((part[rows] - b[cols]) ** 2).sum(axis=1)
+
+
 def _block_kernel(k: int, r: float | None, skip_self: bool):
     limit = math.inf if r is None else r * r
 
     def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"y": pd.Series(dtype="int64"), "x": pd.Series(dtype="int64"), "d2": pd.Series(dtype="float64")})
-        if not len(q) or not len(p):
-            return empty
-        a, b = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy())
-        qi, pi = q["id"].to_numpy(), p["id"].to_numpy()
-        bb = (b * b).sum(axis=1)
-        keep = min(k + (1 if skip_self else 0), len(p))
-        out = []
-        for lo in range(0, len(a), 256):
-            part = a[lo:lo + 256]
-            d = (part * part).sum(axis=1)[:, None] + bb[None, :] - 2.0 * part @ b.T
-            edge = np.partition(d, keep - 1, axis=1)[:, keep - 1] if keep < len(p) else np.full(len(part), np.inf)
-            slack = 1e-9 * (1.0 + np.abs(bb).max())
-            # rounding of the fast form is covered by the slack; survivors are measured exactly
-            rows, cols = np.nonzero(d <= np.minimum(edge, limit)[:, None] + slack)
-            exact = ((part[rows] - b[cols]) ** 2).sum(axis=1)
-            hit = pd.DataFrame({"y": qi[lo + rows], "x": pi[cols], "d2": exact})
-            if skip_self:
-                hit = hit[hit["y"] != hit["x"]]
-            if r is not None:
-                hit = hit[hit["d2"] <= limit]
-            out.append(hit.sort_values(["y", "d2", "x"]).groupby("y", sort=False).head(k))
-        return pd.concat(out) if out else empty
+        ys, xs, ds = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
+        if len(q) and len(p):
+            q, p = q.sort_values("cell"), p.sort_values("cell")
+            a, b = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy())
+            qi, pi = q["id"].to_numpy(), p["id"].to_numpy()
+            qc, pc = q["cell"].to_numpy(), p["cell"].to_numpy()
+            cells = np.intersect1d(qc, pc)
+            spans = [np.searchsorted(c, cells, side) for c in (qc, pc) for side in ("left", "right")]
+            for q0, q1, p0, p1 in zip(*spans):
+                keep = min(k + (1 if skip_self else 0), p1 - p0)
+                for rows, cols, d in _nearest_rows(a[q0:q1], b[p0:p1], keep, limit):
+                    ys.append(qi[q0 + rows]), xs.append(pi[p0 + cols]), ds.append(d)
+        y, x, d = np.concatenate(ys), np.concatenate(xs), np.concatenate(ds)
+        ok = d <= limit
+        if skip_self:
+            ok &= y != x
+        y, x, d = y[ok], x[ok], d[ok]
+        order = np.lexsort((x, d, y))
+        y, x, d = y[order], x[order], d[order]
+        rank = np.arange(len(y)) - np.searchsorted(y, y)
+        return pd.DataFrame({"y": y, "x": x, "d2": d})[rank < k]
     return nearest
 
 
 def _join_blocks(queries: DataFrame, points: DataFrame, k: int, r: float | None, skip_self: bool) -> DataFrame:
-    """queries/points(cell, id, v) -> (y, x, d2, rank), the k nearest per query."""
+    """queries/points(cell, id, v) -> (y, x, d2, rank), the k nearest per query.
+
+    A large cell splits into query x point blocks; small cells share a task with others.
+    """
     q, p = cut(queries), cut(points)
+    packs = max(1, -(-p.count() // POINT_BLOCK))
     size = q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq")).join(
-        p.groupBy("cell").agg(F.ceil(F.count("*") / POINT_BLOCK).cast("int").alias("np")), "cell")
+        p.groupBy("cell").agg(F.ceil(F.count("*") / POINT_BLOCK).cast("int").alias("np")), "cell").withColumn(
+        "pack", F.when((F.col("nq") == 1) & (F.col("np") == 1), -1 - F.pmod(F.xxhash64("cell"), F.lit(packs))).otherwise(F.col("cell")))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    qb = q.join(size, "cell").select("cell", "id", "v", F.pmod(mix.mix("id"), F.col("nq")).cast("int").alias("qb"), span("np").alias("pb"))
-    pb = p.join(size, "cell").select("cell", "id", "v", F.pmod(mix.mix("id"), F.col("np")).cast("int").alias("pb"), span("nq").alias("qb"))
-    key = ["cell", "qb", "pb"]
+    qb = q.join(size, "cell").select("pack", "cell", "id", "v", F.pmod(mix.mix("id"), F.col("nq")).cast("int").alias("qb"), span("np").alias("pb"))
+    pb = p.join(size, "cell").select("pack", "cell", "id", "v", F.pmod(mix.mix("id"), F.col("np")).cast("int").alias("pb"), span("nq").alias("qb"))
+    key = ["pack", "qb", "pb"]
     # fresh column identities: both sides may stem from one table
-    qb, pb = (df.select(*[F.col(c).alias(c) for c in (*key, "id", "v")]) for df in (qb, pb))
+    qb, pb = (df.select(*[F.col(c).alias(c) for c in (*key, "cell", "id", "v")]) for df in (qb, pb))
     hits = qb.groupBy(*key).cogroup(pb.groupBy(*key)).applyInPandas(
         _block_kernel(k, r, skip_self), "y bigint, x bigint, d2 double")
     return top_k(hits, ["y"], [F.col("d2"), F.col("x")], k)
