@@ -252,8 +252,8 @@ def gnp_edges(nodes: DataFrame, prob: float, directed: bool = False, seed: int =
     """
     import math
     n = nodes.count()
-    first = (lambda c: c + 1) if not directed else (lambda c: F.lit(-1) + 1)
-    state = nodes.select(F.col("id").alias("src"), (first(F.col("id")) - 1).cast("bigint").alias("at"), F.lit(0).alias("k"))
+    start = F.lit(-1) if directed else F.col("id")  # undirected rows hold targets above the source
+    state = nodes.select(F.col("id").alias("src"), start.cast("bigint").alias("at"), F.lit(0).alias("k"))
     out = None
     while True:
         def jump(acc, j):
