@@ -303,12 +303,13 @@ def mesh_to_nodal(elements: DataFrame) -> DataFrame:
         F.col("node").alias("src"), F.col("other").alias("dst")).distinct()
 
 
-def partition_mesh(elements: DataFrame, k: int, common: int = 1, dual: bool = True) -> tuple[DataFrame, DataFrame]:
+def partition_mesh(elements: DataFrame, k: int, common: int = 1, dual: bool = True, rounds: int = 6,
+                   levels: int = 2) -> tuple[DataFrame, DataFrame]:
     """(elements(id, part), nodes(id, part)): one side partitioned, the other follows its majority."""
     g = mesh_to_dual(elements, common) if dual else mesh_to_nodal(elements)
     a, b = ("elem", "node") if dual else ("node", "elem")
     ids = elements.select(F.col(a).alias("id")).distinct()
-    part = cut(partition_kway(g.withColumn("w", F.lit(1.0)), ids, k))
+    part = cut(partition_kway(g.withColumn("w", F.lit(1.0)), ids, k, rounds, levels=levels))
     votes = elements.distinct().join(part.select(F.col("id").alias(a), "part"), a).groupBy(F.col(b).alias("id"), "part").agg(F.count("*").alias("n"))
     other = votes.groupBy("id").agg(F.max_by("part", F.struct(F.col("n"), -F.col("part"))).alias("part"))
     return (part, other) if dual else (other, part)

@@ -92,7 +92,7 @@ def coarsen_graph_weight(t):
 
 @query("spn", "select count(*) as placed from spn")
 def partition_kway_total(t):
-    return T.partition_kway(t.spu, t.sp_nodes, 4).filter("part between 0 and 3").agg(F.count("*").alias("placed"))
+    return T.partition_kway(t.spu, t.sp_nodes, 4, rounds=1, levels=1).filter("part between 0 and 3").agg(F.count("*").alias("placed"))
 
 
 @query()
@@ -193,9 +193,9 @@ def mesh_to_nodal(t):
 
 @query()
 def partition_mesh_nodal(t):
-    return T.partition_mesh(mesh(t), 4, dual=False)[1]
+    return T.partition_mesh(mesh(t), 4, dual=False, rounds=1, levels=0)[1]
 
 
 @query()
 def partition_mesh_dual(t):
-    return T.partition_mesh(mesh(t), 4, common=2)[0]
+    return T.partition_mesh(mesh(t), 4, common=2, rounds=1, levels=1)[0]
