@@ -20,7 +20,7 @@ def ids_of(edges):
 
 
 # a forest loses nothing under minimum degree: one entry per edge plus the diagonal
-@query("", "with n as (select 3*c_custkey as id from customer union select 3*c_nationkey+1 from customer union select 3*n_nationkey+1 from nation union select 3*n_regionkey+2 from nation) select (select count(*) from n) + (select count(*) from customer) + (select count(*) from nation) as lnz")
+@query("", "with n as (select 3*c_custkey as id from customer union select 3*n_nationkey::bigint+1 from nation union select 3*n_regionkey::bigint+2 from nation) select (select count(*) from n) + (select count(*) from customer) + (select count(*) from nation) as lnz")
 def minimum_degree_forest(t):
     e = tree_edges(t)
     return E.minimum_degree(e, ids_of(e)).totals().select("lnz")
