@@ -103,7 +103,13 @@ def eliminate(variables: DataFrame, var_edges: DataFrame | None = None, rows: Da
         low_el = memb.join(prio, "id").groupBy("elem").agg(F.min("key").alias("key"))
         low = memb.join(low_el, "elem").select("id", "key").unionAll(
             var.join(prio.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "key")).groupBy("id").agg(F.min("key").alias("low"))
-        sel = cut(prio.join(low, "id", "left").filter(F.col("low").isNull() | (F.col("key") <= F.col("low"))).select(F.col("id").alias("s")))
+        sel = prio.join(low, "id", "left").filter(F.col("low").isNull() | (F.col("key") <= F.col("low")))
+        if not fixed:
+            # of the independent candidates only those near the least degree go this round
+            sel = cut(sel.select("id", F.col("key.d").alias("d")))
+            least = sel.agg(F.floor(F.min("d") * 1.2).alias("_least"))  # one row
+            sel = sel.crossJoin(F.broadcast(least)).filter("d <= _least")
+        sel = cut(sel.select(F.col("id").alias("s")))
         eaten = memb.join(sel.select(F.col("s").alias("id")), "id").select("elem", F.col("id").alias("front"))
         eaten = cut(eaten)
         fresh = var.join(sel.select(F.col("s").alias("a")), "a").select(F.col("a").alias("elem"), F.col("b").alias("id")).unionAll(
