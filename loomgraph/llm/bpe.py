@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, store, text_key, text_of
 from .suffix import bytes_of
-from .words import WordEncoder, encoder, slices, token_strings
+from .words import encoder, part_of, slices, token_strings, WordEncoder
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNK_BITS = 10   # chunks of about a kilobyte
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for a, b in slices(batch.column(1)):
-                rows = [(keys[a + k], i, name) for k, i, name in split_names(batch.column(1)[a:b]) if keys[a + k] not in seen]
+                rows = [(keys[a + k], i, name) for k, i, name in split_names(part_of(batch.column(1), a, b)) if keys[a + k] not in seen]
                 seen.update(keys[a:b])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], ["key", "seq", "name"])
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         code = encoder(path)
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                texts, lent = batch.column(1)[a:b], batch.column(2)[a:b]
+                texts, lent = part_of(batch.column(1), a, b), part_of(batch.column(2), a, b)
                 plain = np.flatnonzero(np.asarray(lent.is_null()))
                 flat, ends = code.encode(texts.take(pa.array(plain)))
                 ids: list[np.ndarray] = [flat[:0]] * len(texts)
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     p[1] = got
                 for k, data, plan in plans:
                     ids[k] = joined(code, data, [p[0] for p in plan], [p[1] for p in plan])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part_of(batch.column(0), a, b), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed.join(lent, "key", "left").select("doc_id", "text", "lent").mapInArrow(assemble, f"doc_id {kind}, ids binary")

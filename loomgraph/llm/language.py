@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import part_of, slices
 
 GRAMS = (4, 3, 2, 1)
 MEMO = 300_000
@@ -108,7 +108,7 @@ def identify(text: Column, model: Model, spark) -> Column:
         model, memo, rows = held.value, {}, []
         names = np.array([*model.langs, "und"], dtype=object)
         for texts in batches:
-            parts = [_judge(texts[a:b], model, memo, rows) for a, b in slices(texts)]
+            parts = [_judge(part_of(texts, a, b), model, memo, rows) for a, b in slices(texts)]
             best = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, int)
             score = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang", "score"])

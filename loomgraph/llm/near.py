@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.traverse import components
 from .common import columns_of, small, store
-from .words import slices
+from .words import part_of, slices
 
 FREQUENT = 200_000   # tokens whose frequency orders prefixes; any order gives the same links
 LOCAL = 4            # occurrences in a task's stretch that make a token worth reporting
@@ -85,7 +85,7 @@ def frequent_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often])], ["token", "n"])
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                held.append(shingles(batch.column(0)[a:b], words)[0])
+                held.append(shingles(part_of(batch.column(0), a, b), words)[0])
                 n += len(held[-1])
                 if n > STRETCH:
                     yield told()
@@ -107,7 +107,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                flat, ends = shingles(batch.column(1)[a:b], words)
+                flat, ends = shingles(part_of(batch.column(1), a, b), words)
                 size, sids, prefix = np.diff(ends), [], []
                 values = flat.view(np.int64)
                 at = np.minimum(np.searchsorted(token, values), max(len(token) - 1, 0))
@@ -123,7 +123,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     take = min(n, n - (percent * n + 99) // 100 + need(n))
                     prefix.append(values[s:e][np.argsort(rank[s:e], kind="stable")[:take]])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(size), pa.array(sids, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                    [part_of(batch.column(0), a, b), pa.array(size), pa.array(sids, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
                     ["doc_id", "n", "sid", "prefix"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, sid bigint, prefix array<bigint>")
@@ -134,7 +134,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                flat, ends = shingles(batch.column(0)[a:b], words)
+                flat, ends = shingles(part_of(batch.column(0), a, b), words)
                 sets = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(map(_set_id, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "tokens"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..core.ranges import rank_in_group
 from .common import columns_of, store
-from .words import encoder, slices
+from .words import encoder, part_of, slices
 
 
 class CapacityTree:
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2) -> D
         code = encoder(path)
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                flat, ends = code.encode(batch.column(1)[a:b])
+                flat, ends = code.encode(part_of(batch.column(1), a, b))
                 where, start, size, ids, total = [], [], [], [], []
                 for k, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
                     own = np.append(flat[s:e], np.uint32(end_id)).astype("<u4")

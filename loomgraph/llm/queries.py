@@ -100,7 +100,7 @@ k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) ||
 f as (select key, max(doc_id) as top from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
 m as (select k.*, f.key is not null and k.doc_id < f.top as gone from k left join f on k.key = f.key)
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) order by "at") filter (where not gone), '')) as kept_sha256
 from m group by doc_id"""
 
 WARC_SQL = """

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, store, text_key, text_of
-from .words import slices
+from .words import part_of, slices
 
 GROUP = 4000
 CHUNK = 1 << 22
@@ -197,7 +197,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                data, bounds = bytes_of(batch.column(1)[a:b])
+                data, bounds = bytes_of(part_of(batch.column(1), a, b))
                 of, h, at, _, _ = anchors(data, bounds, length, gram)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(of + a)), pa.array(h.view(np.int64)), pa.array(at - bounds[of])], ["key", "fp", "at"])
@@ -212,9 +212,9 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 rows = []
-                data, bounds = bytes_of(batch.column(1)[a:b])
-                keys = batch.column(0)[a:b].to_pylist()
-                ats, ends = batch.column(2)[a:b].flatten(), np.asarray(batch.column(2)[a:b].offsets, dtype=np.int64)
+                data, bounds = bytes_of(part_of(batch.column(1), a, b))
+                keys = part_of(batch.column(0), a, b).to_pylist()
+                ats, ends = part_of(batch.column(2), a, b).flatten(), np.asarray(part_of(batch.column(2), a, b).offsets, dtype=np.int64)
                 wanted = np.asarray(ats) + np.repeat(bounds[:-1], np.diff(ends))
                 found = anchors(data, bounds, length, gram)
                 for k, p, f, l in zip(*(x[np.isin(found[2], wanted)].tolist() for x in (found[0], *found[2:]))):
