@@ -21,15 +21,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.traverse import components
 from .common import columns_of, small, store
 from .words import part_of, slices
 
-FREQUENT = 200_000   # tokens whose frequency orders prefixes; any order gives the same links
-LOCAL = 4            # occurrences in a task's stretch that make a token worth reporting
+FREQUENT = 400_000   # tokens whose frequency orders prefixes; any order gives the same links
+SKETCH = 16          # tokens of a set that take part in the rounds
+LOCAL = 2            # occurrences in a task's stretch that make a token worth reporting
 STRETCH = 1 << 21
 
 
@@ -77,7 +78,7 @@ def _set_id(tokens: np.ndarray) -> int:
 def frequent_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, counts), sorted by token: the commonest of those that any stretch of the corpus repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, seen = [], 0, set()
 
         def told():
             token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -85,11 +86,16 @@ def frequent_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often])], ["token", "n"])
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                held.append(shingles(part_of(batch.column(0), a, b), words)[0])
-                n += len(held[-1])
+                flat, ends = shingles(part_of(batch.column(0), a, b), words)
+                for s, e in zip(ends[:-1], ends[1:]):
+                    if (sid := _set_id(flat[s:e])) not in seen:   # copies don't make a token common
+                        seen.add(sid)
+                        held.append(flat[s:e])
+                        n += int(e - s)
                 if n > STRETCH:
                     yield told()
                     held, n = [], 0
+                    seen.clear()
         if held:
             yield told()
 
@@ -162,26 +168,35 @@ def _near_size(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _merge(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(sid, grp) after joining the groups that links connect."""
-    ends = links.join(groups.select(F.col("sid").alias("a"), F.col("grp").alias("src")), "a").join(
-        groups.select(F.col("sid").alias("b"), F.col("grp").alias("dst")), "b").filter("src <> dst").select("src", "dst").distinct()
-    ends = store(ends.union(ends.select("dst", "src")))
-    if ends.isEmpty():
-        return groups
-    up = components(ends, ends.select(F.col("src").alias("id")).distinct())
-    return store(groups.join(up.select(F.col("id").alias("grp"), "comp"), "grp", "left").select("sid", F.coalesce("comp", "grp").alias("grp")))
+def _across(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst): pairs of different groups that links connect."""
+    return (links.join(groups.select(F.col("sid").alias("a"), F.col("grp").alias("src")), "a")
+            .join(groups.select(F.col("sid").alias("b"), F.col("grp").alias("dst")), "b").filter("src <> dst").select("src", "dst").distinct())
+
+
+def _lean(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Each group joins one group that its links reach, two steps up: sound, if not yet complete.
+    Links lead to leaders of smaller hash, so steps never come back."""
+    up = _across(groups, links).groupBy("src").agg(F.min("dst").alias("dst"))
+    over = up.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    up = up.join(over, "dst", "left").select(F.col("src").alias("grp"), F.coalesce("next", "dst").alias("to"))
+    return store(groups.join(up, "grp", "left").select("sid", F.coalesce("to", "grp").alias("grp")))
 
 
 def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(sid, grp) for the sets of the matrix (token, sid, n)."""
     groups = store(matrix.select("sid", F.col("sid").alias("grp")).distinct())
     total = groups.count()
-    tried, turn, fresh = None, 0, total
-    while total and fresh * 50 > total:   # rounds pay while they link many; what they leave is settled below
-        placed = matrix.join(groups, "sid")
-        leader = (placed.withColumn("l", F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("grp").alias("bg"), F.col("n").alias("bn")))
-                  .groupBy("token").agg(F.min("l").alias("l"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+    if not total:
+        return groups
+    # rounds compare sketches, the tokens of least hash of each set: they only choose whom to compare first
+    mine = Window.partitionBy("sid").orderBy(F.xxhash64("token"))
+    sketch = store(matrix.withColumn("r", F.row_number().over(mine)).filter(F.col("r") <= SKETCH).drop("r"))
+    tried, links, turn, fresh = None, None, 0, total
+    while fresh * 50 > total:   # rounds pay while they link many; what they leave is settled below
+        placed = sketch.join(groups, "sid")
+        leader = (placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("grp").alias("bg"), F.col("n").alias("bn"))).alias("l"),
+                                              F.min("grp").alias("g0"), F.max("grp").alias("g1"))
                   .filter("g0 <> g1").select("token", "l.*"))
         votes = (placed.join(leader, "token").filter(F.col("grp") != F.col("bg")).filter(_near_size(F.col("n"), F.col("bn"), percent))
                  .groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("v")))
@@ -190,13 +205,16 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = store(votes.groupBy("a").agg(F.max(F.struct("v", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
         found = store(linked(pairs, sets, percent))
         fresh, turn = found.count(), turn + 1
-        tried = pairs if tried is None else store(tried.union(pairs))
-        groups = _merge(groups, found)
-    if not total:
-        return groups
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        if fresh:
+            groups = _lean(groups, found)
+    groups = _settle(groups, links)
+    # what is left: sets against the token unions of other groups, over tokens that several groups hold
     placed = matrix.join(groups, "sid")
+    torn = placed.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1").select("token")
     weight = groups.groupBy("grp").agg(F.count("*").alias("w"))
-    placed = store(placed.join(weight, "grp"))
+    placed = store(placed.join(torn, "token").join(weight, "grp"))
     unions = placed.select("token", "grp", "w").distinct()
     key = lambda w, g: F.struct(F.col(w), F.col(g))  # noqa: E731  the smaller group asks the larger
     least = need(F.col("n") * percent / 100).cast("bigint")
@@ -208,9 +226,18 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = (opened.join(members, ["token", "g"]).filter(_near_size(F.col("n"), F.col("bn"), percent))
              .groupBy(F.col("sid").alias("a"), "b", "n", "bn").agg(F.count("*").alias("v"))
              .filter(F.col("v") >= need(F.least("n", "bn") * 1.0).cast("bigint")).select("a", "b"))
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return _merge(groups, store(linked(store(pairs), sets, percent)))
+    both = tried.union(tried.select("b", "a"))
+    return _settle(groups, linked(store(pairs.join(both, ["a", "b"], "left_anti")), sets, percent))
+
+
+def _settle(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(sid, grp) after joining all groups that links connect."""
+    ends = store(_across(groups, links))
+    if ends.isEmpty():
+        return groups
+    ends = ends.union(ends.select("dst", "src"))
+    up = components(ends, ends.select(F.col("src").alias("id")).distinct())
+    return store(groups.join(up.select(F.col("id").alias("grp"), "comp"), "grp", "left").select("sid", F.coalesce("comp", "grp").alias("grp")))
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
