@@ -204,7 +204,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     # a text with copies is removed whole; its anchors still mark passages in other texts
     marks = store(texts.select("key", "text").mapInArrow(mark, "key binary, fp bigint, at bigint"))
-    often = marks.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    often = store(marks.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"))   # stored, so a hot anchor's join can be split
     hits = marks.join(often, "fp").groupBy("key").agg(F.collect_set("at").alias("ats"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +238,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     contexts = store(contexts)
     whole = contexts.filter("n > 1").select("fp", "name", F.array(F.struct(F.lit(0).alias("a"), F.col("last").alias("b"))).alias("runs"))
     width = contexts.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("n0")).filter("m > 1 and n0 = 1")
+    width = store(width)
     mixed = contexts.join(width, "fp")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
