@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
         part = kept if top is None else kept.filter(F.col("id") < top)
         part = part if low is None else part.filter(F.col("id") >= low)
         runs.add(part.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("top")))
-    drops = (kept.join(runs.settled().select("key", "top"), "key").filter("id < top")
+    drops = (kept.join(store(runs.settled().select("key", "top")), "key").filter("id < top")
              .groupBy("row").agg(F.collect_set("at").alias("__llm_at")))
     out = docs.withColumn("__llm_row", row).join(drops.withColumnRenamed("row", "__llm_row"), "__llm_row", "left")
     split = F.split(text_of(), "\n")
