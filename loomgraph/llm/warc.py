@@ -56,10 +56,11 @@ def write_archives(pages: DataFrame, least: int = 100) -> str:
                         F.encode(text_of("html"), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = (rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first")).filter("first is not null"))
     folder = shared_dir(pages.sparkSession)
+    files, top = open_fs(folder)
+    files.create_dir(top, recursive=True)   # there even if no task has a row
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = open_fs(folder)
-        files.create_dir(top, recursive=True)
         name = f"{top}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         n = 0
         with files.open_output_stream(own := f"{top}/.{uuid.uuid4().hex}") as out:
