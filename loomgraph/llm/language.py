@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .words import part_of, slices
 
 GRAMS = (4, 3, 2, 1)
-MEMO = 300_000
+MEMO = 150_000
 
 
 @dataclass
@@ -41,7 +41,7 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def fit(labelled: DataFrame, per_language: int = 1500, least_count: int = 3) -> Model:
+def fit(labelled: DataFrame, per_language: int = 1000, least_count: int = 3) -> Model:
     """Learn from (text, lang) rows, about ``per_language`` rows of each language drawn by a hash of
     the row: that bounds the vocabulary, which the driver and the tasks hold whole."""
     rows = labelled.filter("lang is not null and text is not null").select("text", "lang")

@@ -27,7 +27,7 @@ from .common import columns_of, store, text_key, text_of
 from .words import part_of, slices
 
 GROUP = 4000
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 LOW = np.uint64(0xFFFFFF)
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -196,7 +196,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), CHUNK):
                 data, bounds = bytes_of(part_of(batch.column(1), a, b))
                 of, h, at, _, _ = anchors(data, bounds, length, gram)
                 yield pa.RecordBatch.from_arrays(
@@ -210,7 +210,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown: set[bytes] = set()
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), CHUNK):
                 rows = []
                 data, bounds = bytes_of(part_of(batch.column(1), a, b))
                 keys = part_of(batch.column(0), a, b).to_pylist()
@@ -224,7 +224,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
                     again = name in shown
                     shown.add(name)
                     rows.append((keys[k], fp, name, int(f - bounds[k]), p - f, l - f, None if again else ctx))
-                if len(shown) > 500_000:
+                if len(shown) > 200_000:
                     shown.clear()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TABLE_WORDS = 600_000   # a word table starts anew beyond this many words (memory, not results)
-SLICE_BYTES = 4 << 20   # text handled at once
+TABLE_WORDS = 400_000   # a word table starts anew beyond this many words (memory, not results)
+SLICE_BYTES = 2 << 20   # text handled at once
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!-&(-/:-@\[-`{-~"                       # ASCII signs but the apostrophe, which opens suffixes
 SPACE = r" \t\n\x0b\f\r"
@@ -153,6 +153,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield start, stop
         start = stop
+    pa.default_memory_pool().release_unused()   # workers live on; what a batch took goes back
 
 
 def part_of(column: pa.Array, a: int, b: int) -> pa.Array:
