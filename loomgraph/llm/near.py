@@ -184,7 +184,8 @@ def _lean(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, grp) for the sets of the matrix (token, sid, n)."""
+    """(sid, grp) for the sets of the matrix (token, sid, n, rare). ``rare`` counts a set's prefix tokens
+    that no other has: the first round's leaders have fewest, as what others were copied from has."""
     groups = store(matrix.select("sid", F.col("sid").alias("grp")).distinct())
     total = groups.count()
     if not total:
@@ -193,9 +194,9 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = Window.partitionBy("sid").orderBy(F.xxhash64("token"))
     sketch = store(matrix.withColumn("r", F.row_number().over(mine)).filter(F.col("r") <= SKETCH).drop("r"))
     tried, links, turn, fresh = None, None, 0, total
-    while fresh * 50 > total:   # rounds pay while they link many; what they leave is settled below
+    while fresh * 200 > total:   # rounds pay while they link many; what they leave is settled below
         placed = sketch.join(groups, "sid")
-        leader = (placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("grp").alias("bg"), F.col("n").alias("bn"))).alias("l"),
+        leader = (placed.groupBy("token").agg(F.min(F.struct((F.col("rare") if turn == 0 else F.lit(0)).alias("c"), F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("grp").alias("bg"), F.col("n").alias("bn"))).alias("l"),
                                               F.min("grp").alias("g0"), F.max("grp").alias("g1"))
                   .filter("g0 <> g1").select("token", "l.*"))
         votes = (placed.join(leader, "token").filter(F.col("grp") != F.col("bg")).filter(_near_size(F.col("n"), F.col("bn"), percent))
@@ -248,10 +249,11 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = postings.groupBy("token").agg(F.min("sid").alias("s0"), F.max("sid").alias("s1")).filter("s0 <> s1").select("token")
     matrix = store(postings.join(shared, "token").select("token", "sid", "n").distinct())
     hopeful = matrix.groupBy("sid", "n").agg(F.count("*").alias("v")).filter(
-        F.col("v") >= need(F.col("n") * percent / 100).cast("bigint")).select("sid")
-    hopeful = store(hopeful)
-    matrix = store(matrix.join(hopeful, "sid", "left_semi"))
-    sets = store(whole_sets(docs, hopeful, words))
+        F.col("v") >= need(F.col("n") * percent / 100).cast("bigint"))
+    length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + need(F.col("n")))
+    hopeful = store(hopeful.select("sid", (length - F.col("v")).alias("rare")))
+    matrix = store(matrix.join(hopeful, "sid"))
+    sets = store(whole_sets(docs, hopeful.select("sid"), words))
     groups = link_sets(matrix, sets, percent)
     rows = meta.select("doc_id", "n", "sid").join(groups, "sid", "left").withColumn("grp", F.when(F.col("n") > 0, F.coalesce("grp", "sid")))
     named = rows.filter("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("first"))
