@@ -36,7 +36,7 @@ STRETCH = 1 << 21
 
 def need(n):
     """Prefix tokens that two linked sets share at least, by the smaller set's size."""
-    return F.floor(n / 25) + 1 if isinstance(n, Column) else 1 + n // 25
+    return F.floor(n / 50) + 1 if isinstance(n, Column) else 1 + n // 50
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
