@@ -184,12 +184,15 @@ def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed: int = 0, undire
     else:
         pair = pair.select("draw", F.col("a").alias("src"), F.col("b").alias("dst"))
     free = pair.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(e, ["src", "dst"], "left_anti")
-    kept = free.orderBy("draw").limit(want).select("src", "dst")
+    kept = global_index(free, [F.col("draw")], "at").filter(F.col("at") < want).select("src", "dst")
     return both_ways(kept) if undirected else kept
 
 
 def structured_negatives(edges: DataFrame, n_nodes: int, seed: int = 0, rounds: int = 50) -> DataFrame:
-    """(src, dst, neg): for each edge a node that is no neighbour of its source, redrawn on a hit."""
+    """(src, dst, neg): for each edge a node that is no neighbour of its source, redrawn on a hit.
+
+    Edges that ``rounds`` draws leave open take the smallest node that is none of the source's
+    neighbours; ``neg`` is null where the source has them all."""
     e = cut(edges.select("src", "dst").distinct())
     open_ = e
     out = None
@@ -201,7 +204,11 @@ def structured_negatives(edges: DataFrame, n_nodes: int, seed: int = 0, rounds:
         open_ = cut(open_.join(good.select("src", "dst"), ["src", "dst"], "left_anti"))
         if open_.limit(1).count() == 0:
             return out
-    return out
+    near = rank_in_group(e.join(open_.select("src").distinct(), "src", "left_semi").filter(F.col("dst").between(0, n_nodes - 1)), ["src"], [F.col("dst")], "r")
+    free = near.groupBy("src").agg(F.coalesce(F.min(F.when(F.col("dst") > F.col("r"), F.col("r"))), F.count("*")).alias("neg"))
+    rest = open_.join(free, "src", "left").select("src", "dst", F.coalesce("neg", F.lit(0)).alias("neg"))
+    rest = rest.withColumn("neg", F.when(F.col("neg") < n_nodes, F.col("neg")))
+    return rest if out is None else out.unionAll(rest)
 
 
 def batched_negatives(nodes: DataFrame, edges: DataFrame, per_edge: int = 1, seed: int = 0) -> DataFrame:

@@ -24,12 +24,14 @@ class MatrixMeta:
     dense: bool
 
 
-def numbered_lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
-    """(line, value): lines numbered from 0 in file order, comment lines left out first."""
+def numbered_lines(spark: SparkSession, path: str, comment: str | None = None, blank: bool = True) -> DataFrame:
+    """(line, value): lines numbered from 0 in file order, comment (and blank) lines left out first."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                                        F.monotonically_increasing_id().alias("m"))
     if comment:
         raw = raw.filter(~F.ltrim("value").startswith(comment))
+    if not blank:
+        raw = raw.filter(F.trim("value") != "")
     return global_index(raw, [F.col("f"), F.col("b"), F.col("m")], "line").select("line", "value")
 
 
@@ -37,30 +39,39 @@ def words(c: str | Column = "value") -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
 
+def _triangle(cell: Column, n: int) -> tuple[Column, Column]:
+    """(i, j) of a running number in a lower triangle of ``n`` columns, column by column."""
+    start = lambda j: j * n - F.floor(j * (j - 1) / 2)
+    near = F.floor((F.lit(2 * n + 1) - F.sqrt(F.greatest(F.lit(float((2 * n + 1) ** 2)) - 8 * cell, F.lit(0.0)))) / 2).cast("bigint")
+    j = F.when(start(near) > cell, near - 1).when(start(near + 1) <= cell, near + 1).otherwise(near)
+    return (j + cell - start(j)).cast("bigint"), j.cast("bigint")
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
-    """(i, j, v) from a coordinate or array file, 0-based, symmetric halves expanded.
+    """(i, j, v) from a coordinate or array file, 0-based, stored halves expanded; complex files add ``im``.
 
-    Pattern entries read 1; symmetric patterns read -1 off the diagonal and 1 + the largest
-    degree on it, as published. Only the banner and size line come to the driver.
+    Skew-symmetric mirrors change sign, hermitian ones conjugate. Pattern entries read 1; symmetric
+    patterns read -1 off the diagonal and 1 + the largest degree on it, as published. Only the banner
+    and size line come to the driver; the size line is known by its place.
     """
-    lines = spark.read.text(path)
-    banner = [w.lower() for w in lines.filter(F.col("value").startswith("%%")).first()[0].split()]
-    dense, pattern, symmetric = "array" in banner, "pattern" in banner, "symmetric" in banner
-    if dense:
-        body = cut(numbered_lines(spark, path, "%").filter(F.size(words()) > 0))
-        size = body.filter("line = 0").first()["value"].split()
-        nrow, ncol = int(size[0]), int(size[1])
-        cell = F.col("line") - 1
-        a = body.filter("line > 0").select((cell % nrow).alias("i"), F.floor(cell / nrow).alias("j"), F.trim("value").cast("double").alias("v"))
-        return a, MatrixMeta(nrow, ncol, symmetric, False, True)
-    head = numbered_lines(spark, path, "%").filter("line = 0").first()["value"]
-    nrow, ncol = (int(w) for w in head.split()[:2])
-    w = words()
-    body = lines.filter(~F.ltrim("value").startswith("%")).select(w.alias("w"), "value").filter((F.size("w") >= 2) & (F.col("value") != head))
-    # a coordinate line equal to the size line cannot occur: it would need an index past the end
-    a = body.select((F.col("w")[0].cast("bigint") - 1).alias("i"), (F.col("w")[1].cast("bigint") - 1).alias("j"),
-                    (F.lit(1.0) if pattern else F.col("w")[2].cast("double")).alias("v"))
-    if symmetric:
+    banner = [w.lower() for w in spark.read.text(path).filter(F.col("value").startswith("%%")).first()[0].split()]
+    dense, pattern = "array" in banner, "pattern" in banner
+    skew, hermitian, symmetric = "skew-symmetric" in banner, "hermitian" in banner, "symmetric" in banner
+    folded, double = skew or hermitian or symmetric, "complex" in banner or hermitian
+    body = cut(numbered_lines(spark, path, "%", blank=False))
+    nrow, ncol = (int(w) for w in body.filter("line = 0").first()["value"].split()[:2])
+    w, cell = words(), F.col("line") - 1
+    if not dense:
+        at = [(w[0].cast("bigint") - 1), (w[1].cast("bigint") - 1)]
+    elif not folded:
+        at = [(cell % nrow), F.floor(cell / nrow)]
+    else:
+        i, j = _triangle(cell, nrow - 1 if skew else nrow)
+        at = [i + 1 if skew else i, j]
+    first = 0 if dense else 2
+    numbers = [(F.lit(1.0) if pattern else w[first].cast("double")).alias("v")] + ([w[first + 1].cast("double").alias("im")] if double else [])
+    a = body.filter("line > 0").select(at[0].alias("i"), at[1].alias("j"), *numbers)
+    if symmetric and not dense and not double:
         from ..operators.matrix import symmetric_half_to_full
         a = symmetric_half_to_full(a)
         if pattern:
@@ -68,7 +79,10 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, Matri
             full = a.filter("i <> j").select("i", "j", F.lit(-1.0).alias("v"))
             diag = spark.range(nrow).crossJoin(F.broadcast(deg)).select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("d").alias("v"))  # one row
             a = full.unionAll(diag)
-    return a, MatrixMeta(nrow, ncol, symmetric, pattern, False)
+    elif folded:
+        other = [(-F.col("v") if skew else F.col("v")).alias("v")] + ([(-F.col("im") if skew or hermitian else F.col("im")).alias("im")] if double else [])
+        a = a.unionAll(a.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), *other))
+    return a, MatrixMeta(nrow, ncol, folded, pattern, dense)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

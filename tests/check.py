@@ -1,4 +1,5 @@
 """Compare registered queries with their SQL on one data folder: python tests/check.py [names or prefixes]"""
+import os
 import sys
 import time
 import traceback
@@ -6,7 +7,7 @@ import traceback
 import duckdb
 import pandas as pd
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -44,7 +45,6 @@ def connect(path):
 
 
 def main():
-    import os
     path = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     from loomgraph.core.session import local_session
     from loomgraph.plans import catalog

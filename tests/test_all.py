@@ -124,3 +124,52 @@ SMALL = ["add_remaining_self_loops", "remove_isolated_nodes", "gcn_norm", "softm
 def test_query_matches_sql(spark, name):
     note, _ = check.compare(catalog.queries()[name](spark, DATA), catalog.oracle_sql()[name], check.connect(DATA))
     assert note is None
+
+
+def test_matrix_market_variants(spark, tmp_path):
+    def read(name, text):
+        f = tmp_path / name
+        f.write_text(text)
+        return rows(S.read_matrix_market(spark, str(f))[0])
+    assert read("g.mtx", "%%MatrixMarket matrix coordinate real general\n3 3 3\n1 1 5\n2 2 6\n3 3 3\n") == [(0, 0, 5.0), (1, 1, 6.0), (2, 2, 3.0)]
+    assert read("s.mtx", "%%MatrixMarket matrix array real symmetric\n3 3\n1\n2\n3\n4\n5\n6\n") == sorted(
+        [(0, 0, 1.0), (1, 0, 2.0), (0, 1, 2.0), (2, 0, 3.0), (0, 2, 3.0), (1, 1, 4.0), (2, 1, 5.0), (1, 2, 5.0), (2, 2, 6.0)])
+    assert read("k.mtx", "%%MatrixMarket matrix array real skew-symmetric\n3 3\n2\n3\n5\n") == sorted(
+        [(1, 0, 2.0), (0, 1, -2.0), (2, 0, 3.0), (0, 2, -3.0), (2, 1, 5.0), (1, 2, -5.0)])
+    assert read("c.mtx", "%%MatrixMarket matrix coordinate real skew-symmetric\n2 2 1\n2 1 4\n") == [(0, 1, -4.0), (1, 0, 4.0)]
+    assert read("h.mtx", "%%MatrixMarket matrix coordinate complex hermitian\n2 2 2\n1 1 1 0\n2 1 4 7\n") == [(0, 0, 1.0, 0.0), (0, 1, 4.0, -7.0), (1, 0, 4.0, 7.0)]
+
+
+def test_least_squares_with_any_row_ids(spark):
+    import numpy as np
+
+    from loomgraph.operators.factor import least_squares
+    r = np.random.default_rng(3)
+    cells = [(i, j, float(r.standard_normal())) for i in (10, 11, 12) for j in (0, 5)] + [(i, j, float(r.standard_normal())) for i in (0, 1, 2, 3) for j in (5, 6)]
+    ids, cols = [0, 1, 2, 3, 10, 11, 12], [0, 5, 6]
+    b = {i: float(r.standard_normal()) for i in ids}
+    m = np.zeros((7, 3))
+    for i, j, v in cells:
+        m[ids.index(i), cols.index(j)] = v
+    want = np.linalg.lstsq(m, np.array([b[i] for i in ids]), rcond=None)[0]
+    got = least_squares(spark.createDataFrame(cells, "i bigint, j bigint, v double"), spark.createDataFrame([(i, 0, v) for i, v in b.items()], "i bigint, c bigint, v double"))
+    assert np.allclose([x[-1] for x in rows(got)], want)
+
+
+def test_streams_equal_batch_in_any_file_order(spark, tmp_path):
+    from loomgraph.streaming import jobs as J
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    n = events.count()
+    for k in range(24):   # newest events come in the first files
+        events.filter(F.floor(F.col("event_id") * 24 / n) == 23 - k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = J.run_tumbling(spark, str(tmp_path), "1 day")
+    assert got.agg(F.sum("n")).first()[0] == n
+    got = J.run_sessions(spark, str(tmp_path), "2 hours")
+    assert got.agg(F.sum("n")).first()[0] == n and got.select("src", "start").distinct().count() == got.count()
+
+
+def test_negatives_of_nearly_full_sources(spark):
+    from loomgraph.operators.sample import structured_negatives
+    e = edges(spark, [(0, d) for d in range(6) if d != 4] + [(1, d) for d in range(6)]).select("src", "dst")
+    got = structured_negatives(e, 6, rounds=1).collect()
+    assert len(got) == 11 and {r.neg for r in got if r.src == 0} == {4} and {r.neg for r in got if r.src == 1} == {None}
