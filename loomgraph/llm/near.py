@@ -2,13 +2,15 @@
 
 Every document becomes the set of its word shingles (64-bit hashes). Sets are ordered by global
 rarity and keep a prefix so long that two sets of the wanted similarity share at least ``need``
-prefix tokens. Prefix tokens of one set alone are dropped; what remains is the matrix.
+prefix tokens. Of two linked sets the smaller has them early: within the first ninth or so of its
+tokens (``short``), as the overlap then has to reach a larger share of it. Prefix tokens of one set
+alone are dropped; what remains is the matrix.
 
 Similar documents are grouped: each round compares a set with the leader of the posting it shares
 most tokens with, and linked sets become one group. Groups that have settled keep their token
-union, (token, group). A query set's overlap with a union bounds its overlap with every member, so
-only groups reaching ``need`` tokens are opened, and only members that share as many are compared,
-on their whole sets. Equal sets are one vertex. Pairs inside a group are never listed.
+union, (token, group), with the sizes of the members that hold the token. A query set's overlap with
+a union bounds its overlap with every member, so only groups reaching ``need`` tokens of fitting
+sizes are opened, and only members that share as many, early enough, are compared on whole sets. Equal sets are one vertex. Pairs inside a group are never listed.
 
 Nulls, empty and white texts have an empty set and link with nothing. Repeated rows and ids are
 separate rows; a component is named by its smallest non-null id.
@@ -168,6 +170,11 @@ def _near_size(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def reaches(both: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of x and y tokens can be linked when at most ``both`` are shared."""
+    return both * (100 + percent) >= (x + y) * percent
+
+
 def _across(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(src, dst): pairs of different groups that links connect."""
     return (links.join(groups.select(F.col("sid").alias("a"), F.col("grp").alias("src")), "a")
@@ -184,7 +191,7 @@ def _lean(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, grp) for the sets of the matrix (token, sid, n, rare). ``rare`` counts a set's prefix tokens
+    """(sid, grp) for the sets of the matrix (token, sid, n, at, short, rare). ``rare`` counts a set's prefix tokens
     that no other has: the first round's leaders have fewest, as what others were copied from has."""
     groups = store(matrix.select("sid", F.col("sid").alias("grp")).distinct())
     total = groups.count()
@@ -216,17 +223,31 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     torn = placed.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1").select("token")
     weight = groups.groupBy("grp").agg(F.count("*").alias("w"))
     placed = store(placed.join(torn, "token").join(weight, "grp"))
-    unions = placed.select("token", "grp", "w").distinct()
     key = lambda w, g: F.struct(F.col(w), F.col(g))  # noqa: E731  the smaller group asks the larger
-    least = need(F.col("n") * percent / 100).cast("bigint")
-    bound = (placed.select("token", "sid", "n", "grp", "w").join(unions.select("token", F.col("grp").alias("g"), F.col("w").alias("gw")), "token")
-             .filter(key("w", "grp") < key("gw", "g"))
-             .groupBy("sid", "n", "g").agg(F.count("*").alias("v")).filter(F.col("v") >= least).select("sid", "g"))
-    opened = placed.select("token", "sid", "n").join(bound, "sid")
-    members = placed.select("token", F.col("grp").alias("g"), F.col("sid").alias("b"), F.col("n").alias("bn"))
-    pairs = (opened.join(members, ["token", "g"]).filter(_near_size(F.col("n"), F.col("bn"), percent))
-             .groupBy(F.col("sid").alias("a"), "b", "n", "bn").agg(F.count("*").alias("v"))
-             .filter(F.col("v") >= need(F.least("n", "bn") * 1.0).cast("bigint")).select("a", "b"))
+    asked = key("w", "grp") < key("gw", "g")
+    unions = (placed.groupBy("token", F.col("grp").alias("g"), F.col("w").alias("gw"))
+              .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.when(F.col("short"), F.col("n"))).alias("short_low"),
+                   F.max(F.when(F.col("short"), F.col("n"))).alias("short_high")))
+    asks = placed.select("token", "sid", "n", "at", "short", "grp", "w")
+    # the asking set is the smaller of a pair and shares early tokens of its own, or the larger and shares the member's
+    smaller = (asks.filter("short").join(unions.select("token", "g", "gw", "low", "high"), "token")
+               .filter(asked & (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100))
+               .groupBy("sid", "n", "g").agg(F.count("*").alias("v"), F.min("at").alias("first"))
+               .filter((F.col("v") >= need(F.col("n")).cast("bigint")) & reaches(F.col("n") - F.col("first"), F.col("n"), F.col("n"), percent)))
+    larger = (asks.join(unions.filter("short_low is not null").select("token", "g", "gw", "short_low", "short_high"), "token")
+              .filter(asked & (F.col("short_low") < F.col("n")) & (F.col("short_high") * 100 >= F.col("n") * percent))
+              .groupBy("sid", "n", "g").agg(F.count("*").alias("v"), F.min("at").alias("first"))
+              .filter((F.col("v") >= need(F.col("n") * percent / 100).cast("bigint"))
+                      & ((F.col("n") - F.col("first")) * 100 >= F.col("n") * percent)))
+    bound = store(smaller.select("sid", "g", F.lit(True).alias("less")).union(larger.select("sid", "g", F.lit(False).alias("less"))))
+    opened = asks.select("token", "sid", "n", "at", "short").join(bound, "sid").filter("short or not less").drop("short")
+    members = placed.select("token", F.col("grp").alias("g"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), "short")
+    members = members.withColumn("less", F.lit(True)).union(members.filter("short").withColumn("less", F.lit(False))).drop("short")
+    pairs = (opened.join(members, ["token", "g", "less"]).filter(_near_size(F.col("n"), F.col("bn"), percent))
+             .filter(F.when(F.col("less"), F.col("bn") >= F.col("n")).otherwise(F.col("bn") < F.col("n")))
+             .groupBy(F.col("sid").alias("a"), "b", "n", "bn").agg(F.count("*").alias("v"), F.min("at").alias("at"), F.min("bat").alias("bat"))
+             .filter(F.col("v") >= need(F.least("n", "bn") * 1.0).cast("bigint"))
+             .filter(reaches(F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("bat")), F.col("n"), F.col("bn"), percent)).select("a", "b"))
     both = tried.union(tried.select("b", "a"))
     return _settle(groups, linked(store(pairs.join(both, ["a", "b"], "left_anti")), sets, percent))
 
@@ -245,9 +266,10 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id), one row per document."""
     columns_of(docs, ["doc_id", "text"])
     meta = store(prefixes(docs, words, percent))
-    postings = meta.filter("prefix is not null").select("sid", "n", F.explode("prefix").alias("token"))
+    postings = meta.filter("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("at", "token"))
+    postings = postings.withColumn("short", F.col("at") < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + need(F.col("n")))
     shared = postings.groupBy("token").agg(F.min("sid").alias("s0"), F.max("sid").alias("s1")).filter("s0 <> s1").select("token")
-    matrix = store(postings.join(shared, "token").select("token", "sid", "n").distinct())
+    matrix = store(postings.join(shared, "token").select("token", "sid", "n", "at", "short").distinct())
     hopeful = matrix.groupBy("sid", "n").agg(F.count("*").alias("v")).filter(
         F.col("v") >= need(F.col("n") * percent / 100).cast("bigint"))
     length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + need(F.col("n")))
