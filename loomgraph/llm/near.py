@@ -10,7 +10,9 @@ Similar documents are grouped: each round compares a set with the leader of the
 most tokens with, and linked sets become one group. Groups that have settled keep their token
 union, (token, group), with the sizes of the members that hold the token. A query set's overlap with
 a union bounds its overlap with every member, so only groups reaching ``need`` tokens of fitting
-sizes are opened, and only members that share as many, early enough, are compared on whole sets. Equal sets are one vertex. Pairs inside a group are never listed.
+sizes are opened, and only members that share as many, early enough, are compared on whole sets. Bit
+masks of whole sets and of their unions bound the overlap beyond the prefixes. Equal sets are one
+vertex. Pairs inside a group are never listed.
 
 Nulls, empty and white texts have an empty set and link with nothing. Repeated rows and ids are
 separate rows; a component is named by its smallest non-null id.
@@ -34,6 +36,7 @@ FREQUENT = 400_000   # tokens whose frequency orders prefixes; any order gives t
 SKETCH = 16          # tokens of a set that take part in the rounds
 LOCAL = 2            # occurrences in a task's stretch that make a token worth reporting
 STRETCH = 1 << 21
+MASKS = 8            # 64-bit masks that show which hashes a whole set holds; a bound only, full masks bound nothing
 
 
 def need(n):
@@ -138,17 +141,23 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, tokens) of the wanted set ids."""
+    """(sid, tokens, masks) of the wanted set ids."""
+    def masks(tokens: np.ndarray) -> np.ndarray:
+        held = np.zeros(64 * MASKS, bool)
+        held[(tokens >> np.uint64(32)) % np.uint64(64 * MASKS)] = True
+        return np.packbits(held).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 flat, ends = shingles(part_of(batch.column(0), a, b), words)
                 sets = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(_set_id, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "tokens"])
+                    [pa.array(map(_set_id, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()),
+                     pa.array(map(masks, sets), pa.list_(pa.int64()))], ["sid", "tokens", "masks"])
 
-    every = docs.select("text").mapInArrow(run, "sid bigint, tokens binary")
-    return every.join(small(wanted), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    every = docs.select("text").mapInArrow(run, "sid bigint, tokens binary, masks array<bigint>")
+    return every.join(small(wanted), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("masks").alias("masks"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,6 +184,11 @@ def reaches(both: Column, x: Column, y: Column, percent: int) -> Column:
     return both * (100 + percent) >= (x + y) * percent
 
 
+def absent(held: str, other: str) -> Column:
+    """Tokens of a set with masks ``held``0.. that another set or union surely lacks, at least."""
+    return sum((F.bit_count(F.col(f"{held}{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}{i}")))) for i in range(MASKS)), F.lit(0))
+
+
 def _across(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(src, dst): pairs of different groups that links connect."""
     return (links.join(groups.select(F.col("sid").alias("a"), F.col("grp").alias("src")), "a")
@@ -223,28 +237,41 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     torn = placed.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1").select("token")
     weight = groups.groupBy("grp").agg(F.count("*").alias("w"))
     placed = store(placed.join(torn, "token").join(weight, "grp"))
+    # a set can be the smaller or the larger of a pair only if enough of these tokens lie early enough in it
+    n, left = F.col("n"), F.col("n") - F.col("first")
+    roles = placed.groupBy("sid", "n").agg(F.count("*").alias("v"), F.count_if("short").alias("sv"), F.min("at").alias("first")).select(
+        "sid", ((F.col("sv") >= need(n)) & reaches(left, n, n, percent)).alias("less"),
+        ((F.col("v") >= need(n * percent / 100)) & (left * 100 >= n * percent)).alias("more")).filter("less or more")
+    masks = sets.select("sid", *(F.col("masks")[i].alias(f"m{i}") for i in range(MASKS)))
+    mine, theirs = ([f"{x}{i}" for i in range(MASKS)] for x in "mu")
+    placed = store(placed.join(roles, "sid").withColumn("less", F.col("short") & F.col("less")).drop("short").filter("less or more").join(masks, "sid"))
     key = lambda w, g: F.struct(F.col(w), F.col(g))  # noqa: E731  the smaller group asks the larger
-    asked = key("w", "grp") < key("gw", "g")
-    unions = (placed.groupBy("token", F.col("grp").alias("g"), F.col("w").alias("gw"))
-              .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.when(F.col("short"), F.col("n"))).alias("short_low"),
-                   F.max(F.when(F.col("short"), F.col("n"))).alias("short_high")))
-    asks = placed.select("token", "sid", "n", "at", "short", "grp", "w")
-    # the asking set is the smaller of a pair and shares early tokens of its own, or the larger and shares the member's
-    smaller = (asks.filter("short").join(unions.select("token", "g", "gw", "low", "high"), "token")
-               .filter(asked & (F.col("high") >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100))
-               .groupBy("sid", "n", "g").agg(F.count("*").alias("v"), F.min("at").alias("first"))
-               .filter((F.col("v") >= need(F.col("n")).cast("bigint")) & reaches(F.col("n") - F.col("first"), F.col("n"), F.col("n"), percent)))
-    larger = (asks.join(unions.filter("short_low is not null").select("token", "g", "gw", "short_low", "short_high"), "token")
-              .filter(asked & (F.col("short_low") < F.col("n")) & (F.col("short_high") * 100 >= F.col("n") * percent))
-              .groupBy("sid", "n", "g").agg(F.count("*").alias("v"), F.min("at").alias("first"))
-              .filter((F.col("v") >= need(F.col("n") * percent / 100).cast("bigint"))
-                      & ((F.col("n") - F.col("first")) * 100 >= F.col("n") * percent)))
-    bound = store(smaller.select("sid", "g", F.lit(True).alias("less")).union(larger.select("sid", "g", F.lit(False).alias("less"))))
-    opened = asks.select("token", "sid", "n", "at", "short").join(bound, "sid").filter("short or not less").drop("short")
-    members = placed.select("token", F.col("grp").alias("g"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), "short")
-    members = members.withColumn("less", F.lit(True)).union(members.filter("short").withColumn("less", F.lit(False))).drop("short")
-    pairs = (opened.join(members, ["token", "g", "less"]).filter(_near_size(F.col("n"), F.col("bn"), percent))
-             .filter(F.when(F.col("less"), F.col("bn") >= F.col("n")).otherwise(F.col("bn") < F.col("n")))
+
+    def asked(role: str, of: str, least: Column, sizes: Column, smallest: Column, share: Column) -> DataFrame:
+        """(sid, g): sets in a role, and the groups whose members in the other one may be linked with them."""
+        unions = placed.filter(of).groupBy("token", F.col("grp").alias("g"), F.col("w").alias("gw")).agg(
+            F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("at_low"), F.max("at").alias("at_high"),
+            *(F.bit_or(m).alias(u) for m, u in zip(mine, theirs)))
+        both = F.least("at", "at_high") + F.least(n - F.col("at"), F.col("high") - F.col("at_low"))
+        both = F.least(both, n - absent("m", "u"))
+        return (placed.filter(role).select("token", "sid", "n", "at", "grp", "w", *mine).join(unions, "token")
+                .filter((key("w", "grp") < key("gw", "g")) & sizes & reaches(both, n, smallest, percent))
+                .groupBy("sid", "n", "g").agg(F.count("*").alias("v"), F.min("at").alias("first"))
+                .filter((F.col("v") >= least) & share).select("sid", "g", (F.lit(role) == "less").alias("under")))
+
+    bound = store(
+        asked("less", "more", need(n), (F.col("high") >= n) & (F.col("low") * percent <= n * 100), F.greatest("low", "n"),
+              reaches(left, n, n, percent))
+        .union(asked("more", "less", need(n * percent / 100), (F.col("low") < n) & (F.col("high") * 100 >= n * percent),
+                     F.greatest(F.col("low"), n * percent / 100), left * 100 >= n * percent)))
+    opened = placed.select("token", "sid", "n", "at", "less", "more", *mine).join(bound, "sid").filter(F.when(F.col("under"), F.col("less")).otherwise(F.col("more"))).drop("less", "more")
+    members = placed.select("token", F.col("grp").alias("g"), F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), "less", "more", *(F.col(m).alias(u) for m, u in zip(mine, theirs)))
+    members = (members.filter("more").withColumn("under", F.lit(True)).union(members.filter("less").withColumn("under", F.lit(False)))
+               .drop("less", "more"))
+    shared = F.least(F.least("at", "bat") + F.least(n - F.col("at"), F.col("bn") - F.col("bat")),
+                     n - absent("m", "u"), F.col("bn") - absent("u", "m"))
+    pairs = (opened.join(members, ["token", "g", "under"]).filter(_near_size(F.col("n"), F.col("bn"), percent))
+             .filter(F.when(F.col("under"), F.col("bn") >= n).otherwise(F.col("bn") < n) & reaches(shared, n, F.col("bn"), percent))
              .groupBy(F.col("sid").alias("a"), "b", "n", "bn").agg(F.count("*").alias("v"), F.min("at").alias("at"), F.min("bat").alias("bat"))
              .filter(F.col("v") >= need(F.least("n", "bn") * 1.0).cast("bigint"))
              .filter(reaches(F.least(F.col("n") - F.col("at"), F.col("bn") - F.col("bat")), F.col("n"), F.col("bn"), percent)).select("a", "b"))
