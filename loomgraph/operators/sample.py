@@ -167,7 +167,9 @@ def cluster_loader(edges: DataFrame, part: DataFrame, parts: Sequence[int]) -> D
 def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed: int = 0, undirected: bool = False) -> DataFrame:
     """Up to ``k`` node pairs that are no edges: oversampled draws, an anti join, the first k.
 
-    Nodes are 0..n-1. The oversampling factor is the published abs(1/(1-1.1 E/N^2)).
+    Nodes are 0..n-1. The oversampling factor is the published abs(1/(1-1.1 E/N^2)). Undirected
+    graphs that hold more than half of the pairs are not drawn from: all their free pairs are
+    listed, about as many rows as there are edges, and the first k by hash are taken.
     """
     e = edges.select("src", "dst").distinct()
     if undirected:
@@ -179,12 +181,15 @@ def negative_edges(edges: DataFrame, n_nodes: int, k: int, seed: int = 0, undire
     pair = edges.sparkSession.range(draws).select(
         F.col("id").alias("draw"), F.pmod(mix.mix("id", seed=seed), F.lit(n_nodes)).alias("a"),
         F.pmod(mix.mix("id", seed=seed + 1), F.lit(n_nodes)).alias("b"))
-    if undirected:
+    if undirected and 2 * m > total:
+        at = edges.sparkSession.range(n_nodes * n_nodes).select(F.floor(F.col("id") / n_nodes).alias("src"), (F.col("id") % n_nodes).alias("dst"))
+        pair = at.filter("src < dst").select(mix.mix("src", "dst", seed=seed).alias("draw"), "src", "dst")
+    elif undirected:
         pair = pair.filter("a <> b").select("draw", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
     else:
         pair = pair.select("draw", F.col("a").alias("src"), F.col("b").alias("dst"))
     free = pair.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(e, ["src", "dst"], "left_anti")
-    kept = global_index(free, [F.col("draw")], "at").filter(F.col("at") < want).select("src", "dst")
+    kept = global_index(free, [F.col("draw"), F.col("src"), F.col("dst")], "at").filter(F.col("at") < want).select("src", "dst")
     return both_ways(kept) if undirected else kept
 
 

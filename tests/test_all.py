@@ -173,3 +173,31 @@ def test_negatives_of_nearly_full_sources(spark):
     e = edges(spark, [(0, d) for d in range(6) if d != 4] + [(1, d) for d in range(6)]).select("src", "dst")
     got = structured_negatives(e, 6, rounds=1).collect()
     assert len(got) == 11 and {r.neg for r in got if r.src == 0} == {4} and {r.neg for r in got if r.src == 1} == {None}
+
+
+def test_undirected_negatives_avoid_every_edge(spark):
+    data = "/root/testdata/sf0.01"   # nine pairs are free there, none in the smaller one
+    li = spark.read.parquet(f"{data}/lineitem.parquet")
+    n = li.agg(F.max("l_suppkey") + 1).first()[0]
+    held = {tuple(r) for r in li.select("l_suppkey", F.col("l_partkey") % n).distinct().collect()}
+    free = {(a, b) for a in range(n) for b in range(a + 1, n)} - held
+    assert free and rows(catalog.queries()["negative_edges_undirected"](spark, data)) == sorted(free | {(b, a) for a, b in free})
+
+
+@pytest.mark.parametrize("name", ["partition_kway_total", "partition_mesh_nodal", "partition_mesh_dual"])
+def test_partition_queries_coarsen_and_refine_in_full(spark, monkeypatch, name):
+    import inspect
+
+    from loomgraph.operators import traverse
+    whole, seen = traverse.partition_kway, []
+
+    def noted(edges, nodes, k, *args, **kw):
+        call = inspect.signature(whole).bind(edges, nodes, k, *args, **kw)
+        call.apply_defaults()
+        seen.append((call.arguments["rounds"], call.arguments["levels"]))
+        return nodes.select("id", F.lit(0).alias("part"))   # the partition itself isn't needed here
+
+    monkeypatch.setattr(traverse, "partition_kway", noted)
+    catalog.queries()[name](spark, DATA)
+    given = inspect.signature(whole).parameters
+    assert seen == [(given["rounds"].default, given["levels"].default)]
