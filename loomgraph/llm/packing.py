@@ -147,7 +147,10 @@ def place(cut: DataFrame, window: int = 4096) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). The ids themselves are in
-    ``pieces``; they don't travel with the placement."""
-    cut = store(pieces(docs, path, window, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return place(cut, window)
+    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset): every piece with its ids and
+    its place. Pieces are stored once under a number of their own; only numbers and lengths are ranked, and
+    the places are joined back."""
+    cut = store(pieces(docs, path, window, end_id).withColumn("__llm_piece", F.monotonically_increasing_id()))
+    places = place(cut.drop("ids", "doc_tokens"), window).select("__llm_piece", "sequence_id", "offset")
+    return cut.join(places.hint("shuffle_hash"), "__llm_piece").select(   # one plan at every size: places are never broadcast
+        "doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

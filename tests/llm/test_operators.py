@@ -197,6 +197,18 @@ def test_packing(docs, none):
     assert packing.pack(none, queries.tokenizer()).count() == 0
 
 
+def test_packed_sequences_hold_the_tokens(docs):
+    code, window = encoder(queries.tokenizer()), 64
+    want = Counter(tuple(v[a:a + window]) for _, t in pairs(docs) for v in [code.direct(t) + [2]] for a in range(0, len(v), window))
+    by, got = {}, Counter()
+    for r in packing.pack(docs, queries.tokenizer(), window).collect():
+        row, ids = by.setdefault(r.sequence_id, [None] * window), np.frombuffer(r.ids, "<u4").tolist()
+        assert row[r.offset:r.offset + r.length] == [None] * len(ids)
+        row[r.offset:r.offset + r.length] = ids
+        got[tuple(ids)] += 1
+    assert got == want and all(None not in row[:len(row) - row.count(None)] for row in by.values())
+
+
 def test_best_fit_decreasing_is_the_plain_one():
     r = random.Random(2)
     for _ in range(150):
