@@ -3,17 +3,19 @@
 All stages but the last return the columns of ``documents``. The language stage drops documents without
 any letter (``und``); the line stage rewrites text; the near-duplicate stage keeps the smallest id of each
 component; the suffix stage deletes bytes that repeat (characters that a cut halves are dropped with
-it); packing returns pieces. Nulls, empty and repeated rows behave as the operators say.
+it, nothing else is); packing returns pieces with their ids, placed in sequences.
+Nulls, empty and repeated rows behave as the operators say.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language, lines, near, packing, suffix
-from loomgraph.llm.common import store, text_key
+from loomgraph.llm.common import store, text_key, text_of
 from loomgraph.llm.queries import tokenizer
 
 
@@ -34,11 +36,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def without_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:
+    """``text`` without the byte ranges ``spans``, each widened to whole characters."""
+    data, at, out = text.encode(), 0, []
+    for a, b in spans:
+        while a < len(data) and data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        out.append(data[at:max(a, at)])
+        at = max(at, b)
+    return b"".join([*out, data[at:]]).decode()
+
+
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix.strip_repeats(docs.select("text")).filter(F.size("spans") > 0).select(F.col("key").alias("__llm_key"), "kept")
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    out = docs.withColumn("__llm_key", text_key()).join(kept.withColumn("__llm_text", text).drop("kept"), "__llm_key", "left")
-    return out.withColumn("text", F.coalesce("__llm_text", "text")).select(*docs.columns)
+    @F.arrow_udf("string")
+    def stripped(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else without_spans(t.as_py(), ((x["a"], x["b"]) for x in s))
+                         for t, s in zip(text, spans.to_pylist())], pa.string())
+
+    cuts = suffix.strip_repeats(docs.select("text")).filter(F.size("spans") > 0).select(F.col("key").alias("__llm_key"), F.col("spans").alias("__llm_spans"))
+    out = docs.withColumn("__llm_key", text_key()).join(cuts, "__llm_key", "left")
+    cut = stripped(F.when(F.col("__llm_spans").isNotNull(), text_of()), "__llm_spans")
+    return out.withColumn("text", F.coalesce(cut, "text")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,3 +315,12 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
             assert near.near_components(out).filter("doc_id <> component_id").count() == 0
         docs = out
     assert P.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.count()
+
+
+def test_cuts_touch_nothing_but_halved_characters(spark):
+    import corpus_pipeline as P
+    both = "x" * 500
+    text = ["\ufffdé" + both + "日\ufffd", "\ufffdè" + both + "旦\ufffd"]   # a half that both last letters share repeats too
+    assert P.without_spans("aé日b", [(2, 4)]) == "ab" and P.without_spans("é\ufffdb", [(5, 6)]) == "é\ufffd"
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
+    assert {r.text for r in P.strip_passages(spark, docs, "").collect()} == {"\ufffdé\ufffd", "\ufffdè\ufffd"}
