@@ -4,7 +4,11 @@ All stages but the last return the columns of ``documents``. The language stage
 any letter (``und``); the line stage rewrites text; the near-duplicate stage keeps the smallest id of each
 component; the suffix stage deletes bytes that repeat (characters that a cut halves are dropped with
 it, nothing else is); packing returns pieces with their ids, placed in sequences.
-Nulls, empty and repeated rows behave as the operators say.
+
+Documents are told apart by id and text. Of a component the row with the smallest id stays, rows without
+id last, ties by a hash of the text; of rows that repeat both id and text one stays, which one is open where
+other columns differ. Rows of one id with texts of different components are different documents. Documents
+without words are in no component and all stay. Other nulls and empty rows behave as the operators say.
 """
 from __future__ import annotations
 
@@ -30,10 +34,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; documents without words or id stay."""
-    found = near.near_components(docs.select("doc_id", "text"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component; documents without words stay."""
+    # equal texts share a component, so texts are what is linked; 64 bits name them, as they name sets in ``near``
+    keyed = docs.withColumn("__llm_text", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
+    found = near.near_components(keyed.select(F.col("__llm_text").alias("doc_id"), "text")).filter("n_shingles > 0")
+    links = found.select(F.col("doc_id").alias("__llm_text"), "component_id").distinct()
+    first = keyed.filter(worded).groupBy("__llm_text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f"))
+    keep = (first.join(links, "__llm_text").groupBy("component_id").agg(F.min(F.struct("f", "__llm_text")).alias("k"))
+            .select(F.col("k.f.doc_id").alias("__llm_id"), F.col("k.__llm_text").alias("__llm_kept")))
+    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_text") == F.col("__llm_kept"))
+    stay = keyed.filter(worded).join(keep, same, "left_semi").dropDuplicates(["doc_id", "__llm_text"])
+    return stay.unionByName(keyed.filter(~worded)).select(*docs.columns)
 
 
 def without_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:

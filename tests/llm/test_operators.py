@@ -317,6 +317,46 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert P.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choice("abcdefgé日") for _ in range(6)) for _ in range(n))
+    line, twice, near_one, gone = "One line that many of these documents share with others.", say(60), say(90), say(90)
+    rows = [(1, twice), (1, twice), (None, say(70)), (3, near_one), (4, near_one + " tail"), (4, say(30)), (5, "12 34"), (5, "12 34"), (6, None), (7, " ")]
+    rows += [(None, rows[2][1])] + [(20 + i, f"{say(9)}\n{line}\n{say(9)}") for i in range(7)]
+    rows += [(30 + i, f"{say(80)} \ufffd {edge}{gone}{end} \ufffd {say(80)}") for i, (edge, end) in enumerate([("é", "日"), ("è", "旦")])]
+    spark.createDataFrame([(d, t, "en", None) for d, t in rows], "doc_id bigint, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(d, t) for d, t in rows if re.search(r"[^\W\d_]", t or "")]
+    holders = {}
+    for d, t in docs:
+        for x in t.split("\n"):
+            holders.setdefault(x.lower(), set()).add(-1 if d is None else d)
+    drop = lambda d, x: len(x) >= 40 and len(h := holders[x.lower()]) >= 5 and (-1 if d is None else d) < max(h)
+    docs = [(d, "\n".join(x for x in t.split("\n") if not drop(d, x))) for d, t in docs]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in docs]
+    up = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    docs = [min((docs[i] for i in range(len(docs)) if up[i] == c), key=lambda x: (x[0] is None, x[0] or 0)) for c in sorted(set(up))]
+    assert Counter(d for d, _ in docs)[4] == 1 and len(docs) < len(rows) - 6
+    data = [t.encode() for _, t in docs]
+    count = Counter(b[i:i + 400] for b in data for i in range(len(b) - 399))
+    want = Counter()
+    for (d, t), b in zip(docs, data):
+        hit = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 399):
+            hit[i:i + 400] |= count[b[i:i + 400]] > 1
+        ends = np.cumsum([0] + [len(c.encode()) for c in t])
+        text = "".join(c for c, x, y in zip(t, ends, ends[1:]) if not hit[x:y].any())
+        assert text.count("\ufffd") == t.count("\ufffd") and (d not in (30, 31) or len(text) < len(t))
+        ids = encoder(queries.tokenizer()).direct(text) + [2]
+        want[(d, 0, np.array(ids, "<u4").tobytes())] += 1
+    got = P.run(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.start, bytes(x.ids)) for x in got) == want
+
+
 def test_cuts_touch_nothing_but_halved_characters(spark):
     import corpus_pipeline as P
     both = "x" * 500
