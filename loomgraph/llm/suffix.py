@@ -2,8 +2,9 @@
 
 Every ``length``-byte window holds one anchor: the ``gram``-byte string of least hash among those in
 the window. Equal windows hold equal anchors at equal offsets, so only the surroundings of anchors
-that occur twice can repeat. For these, both context sides are suffix-sorted deep-shallow: a
-multikey quicksort on the first 16 bytes, then blind tries for groups that still agree. The two
+that occur twice can repeat. For these, both context sides are suffix-sorted deep-shallow: the first
+16 bytes, as two words, by numpy's lexicographic sort (in place of a multikey quicksort, which would
+partition in Python; the order is the same), then blind tries for groups that still agree. The two
 sorted orders with their common-prefix lengths tell, for each offset, which windows are equal.
 Groups of more than ``GROUP`` different contexts are settled by grouping window digests instead, so
 no anchor fills a task.
