@@ -247,8 +247,11 @@ def to_dense_batch(nodes: DataFrame, value: str, fill: float = 0.0,
     """(graph_id, pos, value, mask): every graph padded to ``size`` rows."""
     placed = cut(rank_in_group(nodes.select("graph_id", "id", value), ["graph_id"],
                                [F.col("id")], "pos"))
+    most = (placed.agg(F.max("pos")).first()[0] or 0) + 1
     if size is None:
-        size = (placed.agg(F.max("pos")).first()[0] or 0) + 1
+        size = most
+    elif most > size:
+        raise ValueError(f"a graph has {most} nodes, more than {size}")
     grid = placed.select("graph_id").distinct().select(
         "graph_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("pos"))
     return grid.join(placed, ["graph_id", "pos"], "left").select(
@@ -259,8 +262,11 @@ def to_dense_batch(nodes: DataFrame, value: str, fill: float = 0.0,
 def to_dense_adj(nodes: DataFrame, edges: DataFrame, size: int | None = None) -> DataFrame:
     """(graph_id, i, row ARRAY<DOUBLE>): one dense adjacency row per padded node."""
     place = cut(local_index(nodes))
+    most = (place.agg(F.max("pos")).first()[0] or 0) + 1
     if size is None:
-        size = (place.agg(F.max("pos")).first()[0] or 0) + 1
+        size = most
+    elif most > size:
+        raise ValueError(f"a graph has {most} nodes, more than {size}")
     s = place.select(F.col("id").alias("src"), "graph_id", F.col("pos").alias("i"))
     d = place.select(F.col("id").alias("dst"), F.col("pos").alias("j"))
     cells = edges.join(s, "src").join(d, "dst").groupBy("graph_id", "i", "j").agg(

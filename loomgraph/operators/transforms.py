@@ -413,7 +413,7 @@ def personalized_pagerank_push(edges: DataFrame, nodes: DataFrame, alpha: float,
 
     All pushes above the threshold ``alpha * eps * out_degree`` happen in one joined round;
     rounds go on until no residual is above it, so each source keeps at most 1/(alpha eps)
-    mass-carrying entries.
+    mass-carrying entries. Raises if ``max_rounds`` rounds leave any above it.
     """
     step = edges.select("src", "dst")
     deg = step.groupBy("src").agg(F.count("*").alias("d"))
@@ -433,6 +433,9 @@ def personalized_pagerank_push(edges: DataFrame, nodes: DataFrame, alpha: float,
             "root", F.col("dst").alias("at"), F.lit(0.0).alias("p"),
             ((1 - alpha) * F.col("r") / F.col("d")).alias("r"))
         state = kept.unionAll(sent).groupBy("root", "at").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    else:
+        if state.join(degs, "at").filter(F.col("r") > alpha * eps * F.col("d")).limit(1).count():
+            raise ValueError(f"residuals above the threshold after {max_rounds} rounds")
     return state.filter("p > 0").select(F.col("root").alias("src"), F.col("at").alias("dst"), F.col("p").alias("w"))
 
 

@@ -201,3 +201,14 @@ def test_partition_queries_coarsen_and_refine_in_full(spark, monkeypatch, name):
     catalog.queries()[name](spark, DATA)
     given = inspect.signature(whole).parameters
     assert seen == [(given["rounds"].default, given["levels"].default)]
+
+
+def test_limits_that_are_hit_raise(spark):
+    e, n = edges(spark, [(0, 1), (1, 2), (2, 0)]), spark.range(3)
+    with pytest.raises(ValueError, match="2 rounds"):
+        T.personalized_pagerank_push(e, n, 0.1, 1e-3, max_rounds=2)
+    nodes = n.select(F.lit(0).alias("graph_id"), "id", F.lit(1.0).alias("v"))
+    for dense in (lambda size: E.to_dense_batch(nodes, "v", size=size), lambda size: E.to_dense_adj(nodes, e, size)):
+        assert dense(3).count() == 3
+        with pytest.raises(ValueError, match="3 nodes"):
+            dense(2)
