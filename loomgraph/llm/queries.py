@@ -6,16 +6,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, forest, language, lines, near, packing, suffix, urls, warc
-from .common import text_key, text_of
+from . import align, bpe, exact, forest, language, lines, mixing, near, negatives, packing, suffix, urls, warc
+from .common import store, text_key, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +84,28 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256)).alias("groups_sha256")
+    rows = store(align.align(table(spark, sf_dir, "documents"), *files).select("doc_id", "n_a", "n_b", "n_groups", groups, "pairs", "times"))
+    return align.score(rows, *files).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
     return {f.__name__: f for f in (op1_bpe, op2_lines, op3_forest, op4_warc, op5_near, op6_packing, op7_exact, op8_suffix,
-                                    op9_language, op10_urls)} | {"pipeline": run}
+                                    op9_language, op10_urls, op11_mixing, op12_negatives, op13_align)} | {"pipeline": run}
 
 
 LINES_SQL = r"""
@@ -131,5 +148,24 @@ select u.page_id, host, path, m.rule,
 from u left join m using (page_id)"""
 
 
+NEGATIVES_SQL = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label as own, c.vec_id, c.label,
+         cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) as bigint) as score
+  from r a join r c on c.vec_id <> a.vec_id where a.vec_id % 50 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where label = own
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as int) as rank, s.vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and label <> own and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, s.vec_id)
+qualify row_number() over w <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": LINES_SQL, "op4_warc": WARC_SQL, "op7_exact": EXACT_SQL, "op10_urls": URLS_SQL}
+    return {"op2_lines": LINES_SQL, "op4_warc": WARC_SQL, "op7_exact": EXACT_SQL, "op10_urls": URLS_SQL, "op12_negatives": NEGATIVES_SQL}
