@@ -2,6 +2,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a step as Parquet to the shared folder and read it again: later steps start from it."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.llm_folder = path
+    return out
+
+
+@contextmanager
+def noted_steps() -> Iterator[list[str]]:
+    """The folders that ``store`` writes inside the block."""
+    paths: list[str] = []
+    token = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
+
+
+def free(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored steps that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def release(*steps: DataFrame) -> None:
+    """Deletes what ``store`` returned; results that were made from it must be stored themselves."""
+    for df in steps:
+        free(df.sparkSession, [df.llm_folder])
 
 
 def text_of(name: str = "text") -> Column:

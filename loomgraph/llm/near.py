@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.traverse import components
-from .common import columns_of, small, store
+from .common import columns_of, small, release, store
 from .words import part_of, slices
 
 FREQUENT = 400_000   # tokens whose frequency orders prefixes; any order gives the same links
@@ -230,13 +230,16 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         if fresh:
-            groups = _lean(groups, found)
+            before, groups = groups, _lean(groups, found)
+            release(before)
+    release(sketch)
     groups = _settle(groups, links)
     # what is left: sets against the token unions of other groups, over tokens that several groups hold
     placed = matrix.join(groups, "sid")
     torn = placed.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1").select("token")
     weight = groups.groupBy("grp").agg(F.count("*").alias("w"))
     placed = store(placed.join(torn, "token").join(weight, "grp"))
+    release(matrix)
     # a set can be the smaller or the larger of a pair only if enough of these tokens lie early enough in it
     n, left = F.col("n"), F.col("n") - F.col("first")
     roles = placed.groupBy("sid", "n").agg(F.count("*").alias("v"), F.count_if("short").alias("sv"), F.min("at").alias("first")).select(
@@ -244,7 +247,8 @@ def link_sets(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ((F.col("v") >= need(n * percent / 100)) & (left * 100 >= n * percent)).alias("more")).filter("less or more")
     masks = sets.select("sid", *(F.col("masks")[i].alias(f"m{i}") for i in range(MASKS)))
     mine, theirs = ([f"{x}{i}" for i in range(MASKS)] for x in "mu")
-    placed = store(placed.join(roles, "sid").withColumn("less", F.col("short") & F.col("less")).drop("short").filter("less or more").join(masks, "sid"))
+    wide, placed = placed, store(placed.join(roles, "sid").withColumn("less", F.col("short") & F.col("less")).drop("short").filter("less or more").join(masks, "sid"))
+    release(wide)
     key = lambda w, g: F.struct(F.col(w), F.col(g))  # noqa: E731  the smaller group asks the larger
 
     def asked(role: str, of: str, least: Column, sizes: Column, smallest: Column, share: Column) -> DataFrame:
@@ -301,7 +305,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.col("v") >= need(F.col("n") * percent / 100).cast("bigint"))
     length = F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + need(F.col("n")))
     hopeful = store(hopeful.select("sid", (length - F.col("v")).alias("rare")))
-    matrix = store(matrix.join(hopeful, "sid"))
+    loose, matrix = matrix, store(matrix.join(hopeful, "sid"))
+    release(loose)
     sets = store(whole_sets(docs, hopeful.select("sid"), words))
     groups = link_sets(matrix, sets, percent)
     rows = meta.select("doc_id", "n", "sid").join(groups, "sid", "left").withColumn("grp", F.when(F.col("n") > 0, F.coalesce("grp", "sid")))
