@@ -5,6 +5,9 @@ any letter (``und``); the line stage rewrites text; the near-duplicate stage kee
 component; the suffix stage deletes bytes that repeat (characters that a cut halves are dropped with
 it, nothing else is); packing returns pieces with their ids, placed in sequences.
 
+A stage deletes the stored steps of the stage before it, whose result is Parquet by then: of one thread, a
+stage's result has to be written before the next one, of whichever run, is asked for.
+
 Documents are told apart by id and text. Of a component the row with the smallest id stays, rows without
 id last, ties by a hash of the text; of rows that repeat both id and text one stays, which one is open where
 other columns differ. Rows of one id with texts of different components are different documents. Documents
@@ -13,26 +16,48 @@ without words are in no component and all stay. Other nulls and empty rows behav
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
+from threading import get_ident
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language, lines, near, packing, suffix
-from loomgraph.llm.common import store, text_key, text_of
+from loomgraph.llm.common import free, noted_steps, store, text_key, text_of
 from loomgraph.llm.queries import tokenizer
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: dict[tuple[str, int], list[str]] = {}   # steps of the last stage, by application and thread
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        me = (spark.sparkContext.applicationId, get_ident())
+        free(spark, _left.pop(me, []))
+        with noted_steps() as paths:
+            out = f(spark, docs, sf_dir)
+        _left[me] = paths
+        return out
+
+    return run_stage
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language the model knows; learned on the labelled documents themselves."""
     judged = language.label_documents(docs, docs.select("text", "lang"))
     return judged.filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select(*docs.columns)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component; documents without words stay."""
     # equal texts share a component, so texts are what is linked; 64 bits name them, as they name sets in ``near``
@@ -61,6 +86,7 @@ def without_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+@stage
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     @F.arrow_udf("string")
     def stripped(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -73,11 +99,12 @@ def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("text", F.coalesce(cut, "text")).select(*docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language", identify_language),
     ("lines", drop_lines),
     ("near_duplicates", drop_near_duplicates),
@@ -89,6 +116,8 @@ ORACLE_SQL = None   # models, tokenizers and byte windows are beyond SQL; tests
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir))
+    for _, step in STAGES[:-1]:
+        before, docs = docs, store(step(spark, docs, sf_dir))
+        if hasattr(before, "llm_folder"):
+            free(spark, [before.llm_folder])
     return STAGES[-1][1](spark, docs, sf_dir)
