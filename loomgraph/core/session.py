@@ -32,6 +32,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later steps neither replay nor re-plan it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` reliably, so later steps neither replay nor re-plan it.
+
+    A checkpoint keeps the size estimate of the plan it replaces, and a join's is the product of its
+    sides'. In a loop that joins each round's table with others made from it the estimate is squared
+    every round, until its digits alone take minutes; one beyond 64 bits is dropped here.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    done = out._jdf.queryExecution()
+    if done.optimizedPlan().stats().sizeInBytes() < 1 << 62:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.toRdd(), out._jdf.schema(), False), spark)
