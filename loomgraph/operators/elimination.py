@@ -16,13 +16,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.ranges import global_index, running
 from ..core.session import cut
 from .edges import both_ways
 
+SORT_ROWS = 100_000   # a supernode up to this many columns is ranked in one sort, a larger one over range-laid slices
+
 
 @dataclass(frozen=True)
 class Symbolic:
@@ -88,6 +90,11 @@ def eliminate(variables: DataFrame, var_edges: DataFrame | None = None, rows: Da
     empty_e, empty_m = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "elem bigint, id bigint")
     var = empty_e if var_edges is None else cut(var_edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     memb = empty_m if rows is None else cut(rows.select((-1 - F.col("row")).alias("elem"), "id").distinct())
+    if not fixed:   # each connected part goes by its own least degree, so parts don't wait for each other
+        from .traverse import components
+        one = var.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(memb.select(F.col("elem").alias("src"), F.col("id").alias("dst")))
+        comp = components(both_ways(one), live.select("id").unionAll(memb.select(F.col("elem").alias("id")).distinct()))
+        parts = cut(comp.join(live, "id", "left_semi").select("id", "comp"))
     pivots: list[DataFrame] = []
     rests: list[DataFrame] = []
     gone: list[DataFrame] = []
@@ -105,10 +112,10 @@ def eliminate(variables: DataFrame, var_edges: DataFrame | None = None, rows: Da
             var.join(prio.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "key")).groupBy("id").agg(F.min("key").alias("low"))
         sel = prio.join(low, "id", "left").filter(F.col("low").isNull() | (F.col("key") <= F.col("low")))
         if not fixed:
-            # of the independent candidates only those near the least degree go this round
-            sel = cut(sel.select("id", F.col("key.d").alias("d")))
-            least = sel.agg(F.floor(F.min("d") * 1.2).alias("_least"))  # one row
-            sel = sel.crossJoin(F.broadcast(least)).filter("d <= _least")
+            # of the independent candidates only those near the least degree of their part go this round
+            sel = cut(sel.select("id", F.col("key.d").alias("d")).join(parts, "id"))
+            least = sel.groupBy("comp").agg(F.floor(F.min("d") * 1.2).alias("_least"))
+            sel = sel.join(least, "comp").filter("d <= _least")
         sel = cut(sel.select(F.col("id").alias("s")))
         eaten = memb.join(sel.select(F.col("s").alias("id")), "id").select("elem", F.col("id").alias("front"))
         eaten = cut(eaten)
@@ -140,10 +147,14 @@ def eliminate(variables: DataFrame, var_edges: DataFrame | None = None, rows: Da
                 "free", F.col("free") & (F.col("wall").isNull() | (F.col("cls") <= F.col("wall"))))
         solo = cut(solo)
         head = sel.select(F.col("s").alias("front"), F.col("s").alias("id"), F.lit(0).cast("bigint").alias("k"))
-        tail = running(solo.filter("free").select(F.col("elem").alias("front"), "id", "cls", "pos"), ["front"],
-                       [F.col("cls"), F.col("pos"), F.col("id")], {"k": F.lit(1).cast("bigint")}).select("front", "id", "k")
+        joins = solo.filter("free").select(F.col("elem").alias("front"), "id", "cls", "pos")
+        order = [F.col("cls"), F.col("pos"), F.col("id")]
+        if (joins.groupBy("front").count().agg(F.max("count")).first()[0] or 0) <= SORT_ROWS:
+            tail = joins.select("front", "id", F.row_number().over(Window.partitionBy("front").orderBy(*order)).cast("bigint").alias("k"))
+        else:
+            tail = running(joins, ["front"], order, {"k": F.lit(1).cast("bigint")}).select("front", "id", "k")
         piv = cut(head.unionByName(tail).withColumn("round", F.lit(rnd)))
-        rest = cut(solo.filter("not free").select(F.col("elem").alias("front"), "id"))
+        rest = solo.filter("not free").select(F.col("elem").alias("front"), "id")
         pivots.append(piv)
         rests.append(rest)
         memb = cut(old.select("elem", "id").unionAll(rest.select(F.col("front").alias("elem"), "id")))
