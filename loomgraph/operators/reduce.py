@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import vec
+from ..core.session import cut
 from ..core.ranges import top_k
 from ..graph import Graph
 from .edges import add_remaining_self_loops, remove_self_loops
@@ -113,6 +114,30 @@ def global_attention(nodes: DataFrame, dim: int, gate: list[float], group: str =
         F.sum(F.col("_g") * c) for c in vec.parts("x", dim)]).alias("x"))
 
 
+def set2set(nodes: DataFrame, dim: int, w_in: list[list[float]], w_state: list[list[float]], bias: list[float],
+            steps: int, group: str = "graph_id") -> DataFrame:
+    """(group, x) of width 2 dim: a recurrent query per graph reads the softmax-weighted sum of its nodes, ``steps`` times.
+
+    Weights are rows by input channel, of 4 dim gates in the order input, forget, cell, output; ``w_in`` takes
+    query and readout (2 dim), ``w_state`` the hidden state. One row of state per graph; a step is one
+    aggregate over the nodes, so large graphs combine map-side.
+    """
+    from .propagate import group_softmax
+    zero = F.array(*[F.lit(0.0)] * dim)
+    state = cut(nodes.select(group).distinct().select(group, zero.alias("_h"), zero.alias("_c"), F.concat(zero, zero).alias("_q")))
+    for _ in range(steps):
+        gates = [a + b for a, b in zip(vec.linear(vec.parts("_q", 2 * dim), w_in, bias), vec.linear(vec.parts("_h", dim), w_state))]
+        i, f, g, o = (gates[k * dim:(k + 1) * dim] for k in range(4))
+        cell = [vec.sigmoid(f[k]) * F.col("_c")[k] + vec.sigmoid(i[k]) * F.tanh(g[k]) for k in range(dim)]
+        state = state.select(group, vec.pack(cell).alias("_c"), vec.pack([vec.sigmoid(c) for c in o]).alias("_o"))
+        state = cut(state.select(group, "_c", vec.pack([F.col("_o")[k] * F.tanh(F.col("_c")[k]) for k in range(dim)]).alias("_h")))
+        asked = nodes.select(group, "x").join(state.select(group, "_h"), group)
+        soft = group_softmax(asked.select(group, "x", vec.dot(vec.parts("x", dim), vec.parts("_h", dim)).alias("_e")), ["_e"], group)
+        read = soft.groupBy(group).agg(F.array(*[F.sum(F.col("_e") * c) for c in vec.parts("x", dim)]).alias("_r"))
+        state = cut(state.join(read, group).select(group, "_h", "_c", F.concat("_h", "_r").alias("_q")))
+    return state.select(group, F.col("_q").alias("x"))
+
+
 # norms ------------------------------------------------------------------------------
 
 def _moments(nodes: DataFrame, dim: int, group: list[str], pooled: bool) -> DataFrame:

@@ -123,6 +123,33 @@ def global_attention(t):
     return flat(R.global_attention(t.lines, 2, [0.05, -0.1]), "graph_id", digits=5)
 
 
+# weights by a rule, so that the SQL can spell them out
+S2S_IN = [[((3 * r + 5 * c) % 7 - 3) * 0.05 for c in range(8)] for r in range(4)]
+S2S_STATE = [[((2 * r + 3 * c) % 5 - 2) * 0.1 for c in range(8)] for r in range(2)]
+S2S_BIAS = [(c % 3 - 1) * 0.2 for c in range(8)]
+
+
+def set2set_sql(steps):
+    ctes = ["s0 as (select distinct graph_id, 0.0::double q0, 0.0::double q1, 0.0::double q2, 0.0::double q3, 0.0::double h0, 0.0::double h1, 0.0::double c0, 0.0::double c1 from ln)"]
+    for k in range(1, steps + 1):
+        gate = lambda c: " + ".join([f"{S2S_BIAS[c]!r}::double"] + [f"q{r} * {S2S_IN[r][c]!r}::double" for r in range(4)] + [f"h{r} * {S2S_STATE[r][c]!r}::double" for r in range(2)])
+        sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+        ctes += [f"g{k} as (select graph_id, c0, c1, {', '.join(f'{gate(c)} as z{c}' for c in range(8))} from s{k - 1})",
+                 f"n{k} as (select graph_id, z6, z7, {', '.join(f'{sig(f"z{2 + j}")} * c{j} + {sig(f"z{j}")} * tanh(z{4 + j}) as c{j}' for j in range(2))} from g{k})",
+                 f"m{k} as (select graph_id, c0, c1, {sig('z6')} * tanh(c0) as h0, {sig('z7')} * tanh(c1) as h1 from n{k})",
+                 f"e{k} as (select ln.graph_id, x0, x1, x0 * h0 + x1 * h1 as s from ln join m{k} using (graph_id))",
+                 f"p{k} as (select *, exp(s - max(s) over ()) as z from e{k})",
+                 f"a{k} as (select *, z / (sum(z) over (partition by graph_id) + 1e-16) as p from p{k})",
+                 f"r{k} as (select graph_id, sum(p * x0) as q2, sum(p * x1) as q3 from a{k} group by 1)",
+                 f"s{k} as (select graph_id, h0 as q0, h1 as q1, q2, q3, h0, h1, c0, c1 from m{k} join r{k} using (graph_id))"]
+    return "with " + ", ".join(ctes) + f" select graph_id, {', '.join(f'round(q{j} + 3.37e-07, 5) as x{j}' for j in range(4))} from s{steps}"
+
+
+@query("ln", set2set_sql(3))
+def set2set(t):
+    return flat(R.set2set(t.lines, 2, S2S_IN, S2S_STATE, S2S_BIAS, 3), "graph_id", dim=4, digits=5)
+
+
 @query("spn", """with m as (select avg(x0) a, avg(x1) b, var_pop(x0) va, var_pop(x1) vb from spn)
   select id, round((x0-a)/sqrt(va+1e-5) + 3.37e-08, 6) as x0, round((x1-b)/sqrt(vb+1e-5) + 3.37e-08, 6) as x1 from spn, m""")
 def batch_norm(t):
