@@ -287,6 +287,42 @@ def reach_up(parents: DataFrame, starts: DataFrame) -> DataFrame:
         seen = cut(seen.unionAll(front))
 
 
+def refreshed_pattern(pattern: DataFrame, order: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(j, i): the factor pattern after the matrix lost entries, from that before, under the same order (id, pos).
+
+    ``edges`` is the matrix graph as it is now, both ways; ``changed`` (id) names the columns that lost entries below
+    their diagonal (entries may also appear where ``pattern`` has one). Only these columns and their ancestors are
+    worked out anew, children before parents: a column holds its own entries and what columns that end in it hand on.
+    """
+    pos = cut(order.select("id", "pos"))
+    at = lambda name, p: pos.select(F.col("id").alias(name), F.col("pos").alias(p))
+    old = cut(pattern.join(at("i", "p"), "i").select("j", "i", "p"))
+    parents = cut(old.groupBy(F.col("j").alias("id")).agg(F.min_by("i", "p").alias("parent")))
+    todo = reach_up(parents, changed)
+    lower = cut(edges.select(F.col("src").alias("j"), F.col("dst").alias("i")).join(at("j", "q"), "j").join(at("i", "p"), "i").filter("p > q")
+                .join(todo.select(F.col("id").alias("j")), "j", "left_semi").select("j", "i", "p").distinct())
+
+    def handed(cols: DataFrame) -> DataFrame:
+        """(j, i, p): what each column leaves to the first column below its diagonal."""
+        first = cols.groupBy("j").agg(F.min_by("i", "p").alias("up"))
+        return cols.join(first, "j").filter("i <> up").select(F.col("up").alias("j"), "i", "p")
+
+    kept = old.join(todo.select(F.col("id").alias("j")), "j", "left_anti")
+    owed = cut(handed(kept).join(todo.select(F.col("id").alias("j")), "j", "left_semi").distinct())
+    done = [kept]
+    while not todo.isEmpty():
+        busy = todo.join(parents, "id").select(F.col("parent").alias("id")).distinct()
+        ready = cut(todo.join(busy, "id", "left_anti").select(F.col("id").alias("j")))
+        new = cut(lower.unionByName(owed).join(ready, "j", "left_semi").distinct())
+        done.append(new)
+        todo = cut(todo.join(ready.select(F.col("j").alias("id")), "id", "left_anti"))
+        owed = cut(owed.join(ready, "j", "left_anti").unionByName(handed(new)).distinct())
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("j", "i")
+
+
 def column_singletons(a: DataFrame, tol: float = 0.0, max_rounds: int = 100000) -> DataFrame:
     """(j, i, round): columns with a single live entry above ``tol``, peeled repeatedly; i is the
     row taken with the column, empty columns have none."""

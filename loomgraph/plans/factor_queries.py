@@ -54,6 +54,15 @@ def factor_pattern(t):
     return natural(t).pattern()
 
 
+# entries of weight above 20 are lost; the refreshed pattern is that of a fresh analysis
+@query("le ln", NAT.replace("where src < dst)", "where src < dst and w <= 20)", 1) + " select i as j, j as i from f4")
+def refreshed_pattern(t):
+    e = cut(t.line_edges)
+    order = t.lines.select("id", F.col("id").alias("pos"))
+    lost = e.filter((F.col("w") > 20) & (F.col("src") < F.col("dst"))).select(F.col("src").alias("id"))
+    return E.refreshed_pattern(natural(t).pattern(), order, e.filter("w <= 20"), lost)
+
+
 @query("le ln", NAT + " select p.id, 1 + count(f4.j) as count from p left join f4 on f4.i = p.id group by 1")
 def column_counts(t):
     return natural(t).column_counts()

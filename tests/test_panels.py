@@ -125,3 +125,16 @@ def test_wide_fronts_go_by_blocks(spark, monkeypatch):
     assert np.allclose(rr.T @ rr, m.T @ m, atol=1e-8) and got.dead.count() == 0
     l = dense(X.cholesky(b).l, (12, 12), "i", "j", "v")
     assert np.allclose(l @ l.T, spd, atol=1e-8)
+
+
+def test_refreshed_pattern_equals_fresh_analysis(spark):
+    from loomgraph.operators.elimination import refreshed_pattern, symbolic_of_order
+    r = np.random.default_rng(8)
+    full = {(i, j) for i in range(16) for j in range(i) if r.random() < 0.2} | {(i + 1, i) for i in range(0, 15, 2)}
+    lost = {e for e in full if r.random() < 0.3}
+    order = spark.createDataFrame([(i, i) for i in range(16)], "id bigint, pos bigint")
+    both = lambda es: spark.createDataFrame([p for a, b in es for p in ((a, b), (b, a))], "src bigint, dst bigint")
+    old, fresh = (symbolic_of_order(both(es), order).pattern() for es in (full, full - lost))
+    changed = spark.createDataFrame([(j,) for _, j in lost], "id bigint")
+    got = refreshed_pattern(cut(old), order, both(full - lost), changed)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fresh.collect()))
