@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
     row = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_of())))
     lines = F.transform(F.split(text_of(), "\n"), lambda x, i: F.struct(i.alias("at"), line_key(x).alias("k")))
     kept = store(
-        docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.explode(lines).alias("l"))
+        docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), lines.alias("lines"))
+        .select("row", "id", F.explode("lines").alias("l"))   # apart: the digest of a text is taken once, not once a line
         .filter(F.length("l.k") >= least_chars)
         .select("row", "id", F.col("l.at").alias("at"), F.unhex(F.md5("l.k")).alias("key")))
     bounds = kept.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("b")).first()["b"] if batches > 1 else []
@@ -75,11 +76,14 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
         runs.add(part.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("top")))
     drops = (kept.join(store(runs.settled().select("key", "top")), "key").filter("id < top")
              .groupBy("row").agg(F.collect_set("at").alias("__llm_at")))
-    out = docs.withColumn("__llm_row", row).join(drops.withColumnRenamed("row", "__llm_row"), "__llm_row", "left")
-    split = F.split(text_of(), "\n")
-    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__llm_at"), i)), "\n")
-    return out.withColumns({
-        "n_lines": F.size(split).cast("bigint"),
-        "n_dropped": F.coalesce(F.size("__llm_at"), F.lit(0)).cast("bigint"),
-        "text": F.when(F.col("__llm_at").isNull(), F.col("text")).otherwise(rest),
-    }).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    # the lines are an array before the join, so each document is split once and its rest is one pass over positions
+    out = (docs.withColumns({"__llm_row": row, "__llm_lines": F.split(text_of(), "\n"), "__llm_null": F.col("text").isNull()}).drop("text")
+           .join(drops.withColumnRenamed("row", "__llm_row"), "__llm_row", "left"))
+    lines, at = F.col("__llm_lines"), F.col("__llm_at")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at), lambda i: lines[i])
+    out = out.withColumns({
+        "n_lines": F.size(lines).cast("bigint"),
+        "n_dropped": F.coalesce(F.size(at), F.lit(0)).cast("bigint"),
+        "text": F.when(at.isNotNull(), F.array_join(rest, "\n")).when(~F.col("__llm_null"), F.array_join(lines, "\n")),
+    })
+    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
