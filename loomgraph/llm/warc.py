@@ -26,6 +26,7 @@ from .common import columns_of, shared_dir, store, text_of
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
+TASKS = 20_000   # reading tasks at most; a task takes its ranges one after the other
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-page:"
 
@@ -142,7 +143,8 @@ def read_archives(spark: SparkSession, folder: str, split: int = 4 << 20) -> Dat
     """(page_id, record_type, refers_to, digest, payload) of all records; revisits have no payload."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
     ranges = files.filter("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split).cast("bigint"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    n = files.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), TASKS), F.col("path"), F.col("start"))   # a number, or adaptive execution merges these small rows
 
     def number(name: str | None) -> int | None:
         return int(name.strip("<>")[len(ID):]) if name and name.strip("<>")[len(ID):] else None
