@@ -55,14 +55,21 @@ def fit(labelled: DataFrame, per_language: int = 1000, least_count: int = 3) ->
              .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
              .groupBy("lang", "w").agg(F.count("*").alias("n")))
     marked = F.concat(F.lit("^"), "w", F.lit("$"))
-    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[
-        F.when(F.length(marked) >= k, F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i, k=k: F.substring(marked, i, F.lit(k))))
-        .otherwise(F.array().cast("array<string>")) for k in GRAMS]))).alias("w"))
+
+    def pieces(k: int) -> Column:
+        # the function for transform takes one argument: a second one, a default too, would be handed the position
+        cut = F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i: F.substring(marked, i, F.lit(k)))
+        return F.when(F.length(marked) >= k, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*map(pieces, GRAMS)))).alias("w"))
     counted = grams.groupBy("lang", "w").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("g")).unionByName(
         words.withColumn("kind", F.lit("w")))
-    table = (counted.groupBy("kind", "w").pivot("lang", langs).agg(F.sum("n"))
-             .filter(sum((F.coalesce(F.col(f"`{k}`"), F.lit(0)) for k in langs), F.lit(0)) >= least_count).toPandas())
-    counts = table[langs].fillna(0).to_numpy(float)
+    place = F.coalesce(*[F.when(F.col("lang") == k, F.lit(i)) for i, k in enumerate(langs)])
+    table = (counted.groupBy("kind", "w").agg(F.collect_list(place).alias("at"), F.collect_list("n").alias("n"), F.sum("n").alias("total"))
+             .filter(F.col("total") >= least_count).select("kind", "w", "at", "n").toPandas())
+    counts = np.zeros((len(table), len(langs)))
+    for row, (at, n) in enumerate(zip(table["at"], table["n"])):
+        counts[row, at] = n
     kinds, texts = table["kind"].to_numpy(), table["w"].to_numpy()
     classes = np.array([0 if k == "w" else len(t) for k, t in zip(kinds, texts)])
     logs = np.zeros_like(counts)

@@ -97,6 +97,22 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_a_long_document(spark, tmp_path):
+    """200000 lines, every other one repeated in four more documents: one pass, not lines times drops."""
+    said = lambda k: f"line number {k} that is long enough to be judged by its key"
+    pairs = spark.range(100_000).agg(F.sort_array(F.collect_list("id")).alias("k"))
+    shared = F.array_join(F.transform("k", lambda k: F.format_string(said("%d"), k)), "\n")
+    own = F.array_join(F.transform("k", lambda k: F.concat(F.format_string(said("%d"), k), F.lit("\nown "), k.cast("string"))), "\n")
+    docs = pairs.select(F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(5)])).alias("doc_id"), shared.alias("s"), own.alias("o")).select(
+        "doc_id", F.when(F.col("doc_id") == 0, F.col("o")).otherwise(F.col("s")).alias("text"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert (got[0].n_lines, got[0].n_dropped) == (200_000, 100_000)
+    assert got[0].text == "\n".join(f"own {k}" for k in range(100_000))
+    assert (got[1].n_dropped, got[1].text, got[4].n_dropped) == (100_000, "", 0)
+
+
 def test_near_components(docs, none):
     rows, sets = pairs(docs), []
     for _, t in rows:
@@ -236,6 +252,21 @@ def test_language(spark, docs, none):
     assert language.label_documents(none, table).count() == 0
 
 
+def test_language_tags_are_values(spark):
+    """Tags that differ in case, hold a backtick or are called like a column, against a plain count."""
+    said = {"en": "the green house", "EN": "THAT brown horse", "a`b": "ein rotes haus", "w": "la maison bleue", "": "una casa roja"}
+    table = spark.createDataFrame([(t, k) for k, t in said.items() for _ in range(4)], "text string, lang string")
+    model = language.fit(table)
+    assert model.langs == sorted(said) and set(model.words) == {w for t in said.values() for w in t.lower().split()}
+    n = {w: np.array([4.0 * (w in said[k].lower().split()) for k in model.langs]) for w in model.words}
+    total = sum(n.values())
+    assert set(model.grams) == {g for w in model.words for k in range(1, 5) for i in range(len(w) + 3 - k) if (g := f"^{w}$"[i:i + k])}
+    for w, row in model.words.items():
+        assert np.allclose(model.logs[row], np.log((n[w] + 0.5) / (total + 0.5 * len(n))))
+    judged = language.label_documents(table, table).select("lang", "lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in judged)
+
+
 def test_urls(spark):
     listed = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
     given = ["http://a.example.net/en/x", "http://a.example.net/de", "https://EXAMPLE.net?q", "x://net/", "http://inet/", None, "", "no scheme/net/",
@@ -274,6 +305,13 @@ def test_warc(spark):
     assert warc.resolved(warc.read_archives(spark, warc.write_archives(pages.filter("false")))).count() == 0
 
 
+def test_warc_is_read_by_several_tasks(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("html"))
+    folder = warc.write_archives(pages)
+    tasks = [r["n"] for r in warc.read_archives(spark, folder, 4096).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 400 and len(tasks) > 4
+
+
 def test_forest(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((600, 16)).astype("float32").tolist()
