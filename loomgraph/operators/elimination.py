@@ -240,6 +240,33 @@ def best_order(edges: DataFrame, nodes: DataFrame, levels: int = 2) -> tuple[str
     return best[0], best[1], tried
 
 
+def separator_tree(classes: DataFrame, levels: int) -> DataFrame:
+    """(id, node) of dissection classes made with ``levels``: the root separator is node 1, node k splits
+    into 2k and 2k + 1, so the ancestors of a node are its halves."""
+    return classes.select("id", F.expr(f"shiftleft(1L, {levels} - cls) + piece").alias("node"))
+
+
+def _ancestors(node: str) -> Column:
+    return F.expr(f"transform(sequence(0, cast(length(bin({node})) as int) - 1), d -> shiftright({node}, d))")
+
+
+def separator_sizes(member: DataFrame) -> DataFrame:
+    """(node, n, total) of member(id, node): own members and those of the whole subtree, nodes without
+    members of their own included if something hangs below them."""
+    own = member.groupBy("node").agg(F.count("*").alias("n"))
+    up = own.select(F.explode(_ancestors("node")).alias("node"), F.col("n").alias("m"))
+    return up.groupBy("node").agg(F.sum("m").alias("total")).join(own, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"), "total")
+
+
+def collapse_separators(member: DataFrame, oksep: float, small: int) -> DataFrame:
+    """member(id, node) with subtrees of less than ``small`` (at least 4) members, or whose separator holds
+    ``oksep`` of the members or more, drawn together at their topmost such node."""
+    sizes = cut(separator_sizes(member))
+    whole = sizes.filter((F.col("total") < max(4, small)) | (F.col("n") >= min(1.0, max(0.0, oksep)) * F.col("total"))).select(F.col("node").alias("above"))
+    top = sizes.select("node", F.explode(_ancestors("node")).alias("above")).join(whole, "above").groupBy("node").agg(F.min("above").alias("top"))
+    return member.join(top, "node", "left").select("id", F.coalesce("top", "node").alias("node"))
+
+
 # trees --------------------------------------------------------------------------------------------
 
 def postorder(parents: DataFrame) -> DataFrame:

@@ -145,6 +145,16 @@ def nested_dissection(t):
     return E.nested_dissection(e, ids_of(e), 1).order()
 
 
+# customers of the orders filed in a heap-numbered tree of 127 nodes: subtrees below 400 members, or with half of them on top, are one
+FILED = "o as (select o_orderkey as id, 1 + (o_custkey + o_orderkey) % 127 as node from orders)"
+
+
+@query("", f"with {FILED}, a as (select distinct node, node >> d as above from o, range(7) r(d) where node >> d > 0), z as (select above as node, count(*) filter (o.node = above) as n, count(*) as total from o join a using (node) group by 1), w as (select node from z where total < 400 or n >= 0.5 * total), m as (select a.node, min(above) as top from a join w on w.node = a.above group by 1) select id, coalesce(top, o.node) as node from o left join m using (node)")
+def collapsed_separators(t):
+    member = t.read("orders").select(F.col("o_orderkey").alias("id"), (1 + (F.col("o_custkey") + F.col("o_orderkey")) % 127).alias("node"))
+    return E.collapse_separators(member, 0.5, 400)
+
+
 @query()
 def best_order(t):
     e = tree_edges(t)
