@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, store, text_key, text_of
+from .common import columns_of, release, store, text_key, text_of
 from .suffix import bytes_of
 from .words import encoder, part_of, slices, token_strings, WordEncoder
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNK_BITS = 10   # chunks of about a kilobyte
+FILTER_BITS = 1 << 27   # 4096 slots of 4 kB
 WHITE_BYTES = frozenset(b" \t\n\x0b\f\r")
 
 
@@ -80,22 +81,42 @@ def _right(data: bytes, x: int, words: int) -> int:
 
 
 def joined(code: WordEncoder, data: bytes, ends: list[int], parts: list[np.ndarray]) -> np.ndarray:
-    """Ids of ``data`` from the ids of the pieces that end at ``ends``, with the joints repaired."""
-    out = parts[0] if parts else np.zeros(0, np.uint32)
+    """Ids of ``data`` from the ids of the pieces that end at ``ends``, with the joints repaired.
+
+    Ids grow in one buffer and a joint reads only the words around it, so a long text stays linear.
+    A joint where the pieces disagree is encoded from the last place that is settled.
+    """
+    out, n = np.empty(sum(map(len, parts)) + 1024, np.uint32), 0
     direct = lambda a, b: code.direct(data[a:b].decode())
+
+    def put(ids: np.ndarray) -> None:
+        nonlocal out, n
+        if n + len(ids) > len(out):
+            out = np.concatenate([out[:n], np.empty(n + 2 * len(ids), np.uint32)])
+        out[n:n + len(ids)] = ids
+        n += len(ids)
+
+    if parts:
+        put(parts[0])
+    settled, settled_ids = 0, 0   # a word starts here, and the ids before it are final
     for x, stop, piece in zip(ends[:-1], ends[1:], parts[1:]):
         if data[x - 1] in WHITE_BYTES or data[x] in WHITE_BYTES:
-            out = np.concatenate([out, piece])
+            settled, settled_ids = x, n
+            put(piece)
             continue
         for words in (0, 1, 3, 7):
             a, b = _left(data, x, words), _right(data, x, words)
             left, right = direct(a, x), direct(x, b)
-            if b <= stop and out[len(out) - len(left):].tolist() == left and piece[:len(right)].tolist() == right:
-                out = np.concatenate([out[:len(out) - len(left)], np.array(direct(a, b), np.uint32), piece[len(right):]])
+            if b <= stop and out[max(0, n - len(left)):n].tolist() == left and piece[:len(right)].tolist() == right:
+                n -= len(left)
+                settled, settled_ids = a, n
+                put(np.array(direct(a, b), np.uint32))
+                put(piece[len(right):])
                 break
-        else:   # no agreement with the pieces at hand: encode all up to here as one
-            out = np.array(direct(0, stop), np.uint32)
-    return out
+        else:
+            n = settled_ids
+            put(np.array(direct(settled, stop), np.uint32))
+    return out[:n].copy()
 
 
 def whole_words(data: bytes, plan: list[list]) -> list[list]:
@@ -112,8 +133,28 @@ def whole_words(data: bytes, plan: list[list]) -> list[list]:
     return [[end, ids] for end, ids, _ in out]
 
 
+def filed(keys: DataFrame) -> DataFrame:
+    """(slot, bits): a table of ``FILTER_BITS`` bits at most, one set for each 16-byte ``key``."""
+    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``: false only where ``key`` is surely not filed. The table is small by construction."""
+    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (place % 8 + 1).cast("int"))) != 0, F.lit(False))
+    out = rows.withColumn("slot", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "slot", "left")
+    return out.withColumn("hit", hit).drop("slot", "bits")
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): ids as unsigned 32-bit little-endian bytes, one row per document."""
+    """(doc_id, ids): ids as unsigned 32-bit little-endian bytes, one row per document.
+
+    Only texts that share a chunk with another text are shuffled. They are told apart by a bit table of
+    fixed size (16 MB); a false hit moves a text for nothing and changes no id.
+    """
     columns_of(docs, ["doc_id", "text"])
     keyed = docs.select("doc_id", text_key().alias("key"), text_of().alias("text"))
 
@@ -129,8 +170,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     refs = store(keyed.select("key", "text").mapInArrow(name_chunks, "key binary, seq int, name binary"))
     at = F.struct("key", "seq")
-    shared = store(refs.groupBy("name").agg(F.min(at).alias("own"), F.max("key").alias("other")).filter(F.col("own.key") != F.col("other")).select("name", "own"))
-    asked = shared.groupBy(F.col("own.key").alias("key")).agg(F.collect_set("own.seq").alias("seqs"))
+    owned = (refs.groupBy("name").agg(F.min(at).alias("own"), F.max("key").alias("other"))
+             .filter(F.col("own.key") != F.col("other")).select("name", "own"))
+    shared = store(refs.join(owned, "name").select("key", "seq", "name", (F.struct("key", "seq") == F.col("own")).alias("mine")))
+    release(refs)
+    sharing = marked(keyed, store(filed(shared.select("key"))))
+    asked = shared.filter("mine").groupBy("key").agg(F.collect_set("seq").alias("seqs"))
+    owners = marked(keyed, store(filed(shared.filter("mine").select("key")))).filter("hit").dropDuplicates(["key"])
 
     def encode_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen = encoder(path), set()
@@ -147,8 +193,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = [x.astype("<u4").tobytes() for x in code.encode_list(parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.binary())], ["name", "ids"])
 
-    coded = keyed.join(asked, "key").select("text", "seqs").mapInArrow(encode_own, "name binary, ids binary").groupBy("name").agg(F.first("ids").alias("ids"))
-    lent = (refs.join(coded, "name").groupBy("key", "seq").agg(F.first("ids").alias("ids"))
+    coded = store(owners.join(asked, "key").select("text", "seqs").mapInArrow(encode_own, "name binary, ids binary"))
+    lent = (shared.join(coded, "name").groupBy("key", "seq").agg(F.first("ids").alias("ids"))
             .groupBy("key").agg(F.collect_list(F.struct("seq", "ids")).alias("lent")))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +233,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part_of(batch.column(0), a, b), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.join(lent, "key", "left").select("doc_id", "text", "lent").mapInArrow(assemble, f"doc_id {kind}, ids binary")
+    apart = sharing.filter(~F.col("hit")).select("doc_id", "text", F.lit(None).cast("array<struct<seq:int,ids:binary>>").alias("lent"))
+    met = sharing.filter("hit").join(lent, "key", "left").select("doc_id", "text", "lent")
+    return apart.unionByName(met).mapInArrow(assemble, f"doc_id {kind}, ids binary")
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -67,6 +67,25 @@ def test_bpe_equals_the_library(docs, none):
     assert bpe.encode(none, queries.tokenizer()).count() == 0
 
 
+def test_bpe_long_texts_and_shared_chunks(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgé'1.") for _ in range(r.randint(1, 9)))
+    block = " ".join(word() for _ in range(4000))
+    rows = [(i, f"{word()} {block[i * 500:i * 500 + 9000]}{word()}") for i in range(12)]
+    rows += [(100, block * 60), (101, "x" * 300_000), (102, block), (103, block), (104, None), (105, "\ufdfa" * 2000 + " " + block)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    code = encoder(queries.tokenizer())
+    for got in bpe.encode(docs, queries.tokenizer()).collect():
+        assert np.frombuffer(got.ids, "<u4").tolist() == code.direct(dict(rows)[got.doc_id] or ""), got.doc_id
+
+
+def test_bpe_filter_misses_no_key(spark):
+    keys = spark.range(3000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id")
+    got = bpe.marked(keys, bpe.filed(keys.filter("id % 3 = 0"))).select("id", "hit").collect()
+    assert len(got) == 3000 and all(r.hit for r in got if r.id % 3 == 0)
+    assert sum(r.hit for r in got if r.id % 3) < 5
+
+
 def test_bpe_repairs_joints():
     code, r = encoder(queries.tokenizer()), random.Random(5)
     text = " ".join("".join(r.choice("abcdefgé'1.") for _ in range(r.randint(1, 9))) for _ in range(80))
