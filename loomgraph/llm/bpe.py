@@ -10,7 +10,7 @@ Null text is empty. Repeated rows and ids are encoded row by row; empty tables g
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,9 +149,11 @@ def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return out.withColumn("hit", hit).drop("slot", "bits")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
     """(doc_id, ids): ids as unsigned 32-bit little-endian bytes, one row per document.
 
+    ``with_text`` adds ``decoded``, what ``decode`` gives for the ids, made by the same worker process.
+
     Only texts that share a chunk with another text are shuffled. They are told apart by a bit table of
     fixed size (16 MB); a false hit moves a text for nothing and changes no id.
     """
@@ -208,9 +210,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 for k, s, e in zip(plain, ends[:-1], ends[1:]):
                     ids[k] = flat[s:e]
                 todo, plans = [], []
-                for k, data, cuts in chunks(texts):
-                    if not lent[k].is_valid:
-                        continue
+                asking = np.flatnonzero(np.asarray(lent.is_valid()))
+                for j, data, cuts in chunks(texts.take(pa.array(asking))) if len(asking) else ():
+                    k = int(asking[j])
                     own = {x["seq"]: np.frombuffer(x["ids"], "<u4") for x in lent[k].as_py()}
                     plan, start = [], 0   # (end, ids or None); neighbours without ids become one piece
                     for i, end in enumerate(cuts.tolist()):
@@ -230,19 +232,26 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     p[1] = got
                 for k, data, plan in plans:
                     ids[k] = joined(code, data, [p[0] for p in plan], [p[1] for p in plan])
-                yield pa.RecordBatch.from_arrays([part_of(batch.column(0), a, b), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+                out = [part_of(batch.column(0), a, b), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+                if with_text:
+                    out.append(texts_of(ids, path))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][:len(out)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     apart = sharing.filter(~F.col("hit")).select("doc_id", "text", F.lit(None).cast("array<struct<seq:int,ids:binary>>").alias("lent"))
     met = sharing.filter("hit").join(lent, "key", "left").select("doc_id", "text", "lent")
-    return apart.unionByName(met).mapInArrow(assemble, f"doc_id {kind}, ids binary")
+    return apart.unionByName(met).mapInArrow(assemble, f"doc_id {kind}, ids binary" + ", decoded string" * with_text)
+
+
+def texts_of(ids: Iterable[np.ndarray], path: str) -> pa.Array:
+    names = token_strings(path)
+    return pa.array([" ".join([names[i] for i in x.tolist()]) for x in ids], pa.string())
 
 
 def decode(ids: Column, path: str) -> Column:
     """Text of an ids column, special tokens included."""
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        names = token_strings(path)
-        return pa.array([" ".join([names[i] for i in np.frombuffer(x.as_buffer(), "<u4").tolist()]) for x in column], pa.string())
+        return texts_of((np.frombuffer(x.as_buffer(), "<u4") for x in column), path)
 
     return run(ids)

@@ -27,9 +27,9 @@ def sha_text(c: str):
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer())
+    coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer(), with_text=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2(F.encode(bpe.decode(F.col("ids"), tokenizer()), "UTF-8"), 256).alias("decoded_sha256"))
+                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

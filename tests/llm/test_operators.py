@@ -75,7 +75,8 @@ def test_bpe_long_texts_and_shared_chunks(spark):
     rows += [(100, block * 60), (101, "x" * 300_000), (102, block), (103, block), (104, None), (105, "\ufdfa" * 2000 + " " + block)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     code = encoder(queries.tokenizer())
-    for got in bpe.encode(docs, queries.tokenizer()).collect():
+    for got in bpe.encode(docs, queries.tokenizer(), with_text=True).collect():
+        assert got.decoded == code.tok.decode(code.direct(dict(rows)[got.doc_id] or ""), skip_special_tokens=False)
         assert np.frombuffer(got.ids, "<u4").tolist() == code.direct(dict(rows)[got.doc_id] or ""), got.doc_id
 
 
