@@ -20,7 +20,7 @@ def query(views: str = "", sql: str | None = None):
 
 def load() -> None:
     from . import (conv_queries, edge_queries, event_queries, factor_queries,  # noqa: F401
-                   matrix_queries, model_queries, panel_queries, partition_queries, pool_queries,
+                   format_queries, matrix_queries, model_queries, panel_queries, partition_queries, pool_queries,
                    reduce_queries, sample_queries, spatial_queries, text_queries,
                    transform_queries)
 
