@@ -11,7 +11,8 @@ blocks is one bounded task with a forest over its rows.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers, and rows without id, take no part;
 vectors of different length never meet. Equal scores go to the smaller id. A row that repeats the
-query's id is not its neighbour; other repeated rows are candidates each.
+query's id is not its neighbour; other repeated rows are candidates each. Query rows that are equal
+are asked once and give one answer; query rows of one id with different vectors give one answer each.
 """
 from __future__ import annotations
 
@@ -40,8 +41,8 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
     return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
 
 
-def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, trees: int, miss: float, seed: int):
-    """(query id, id, score) of the k best candidates of each query in this block."""
+def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, q_copies: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, trees: int, miss: float, seed: int):
+    """(query id, its copy, id, score) of the k best candidates of each query in this block."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     ask = q / np.linalg.norm(q, axis=1, keepdims=True)
     keys, wanted = hash_strings(unit, trees, seed), hash_strings(ask, trees, seed)
@@ -75,7 +76,7 @@ def nearest_in_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.nd
                     break
             level -= 1
         found = sorted((-exact_cosine(q[j], x[i]), ids[i]) for i in best)[:k]
-        out.extend((q_ids[j], i, -s) for s, i in found)
+        out.extend((q_ids[j], q_copies[j], i, -s) for s, i in found)
     return out
 
 
@@ -89,15 +90,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 64, mi
     n = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     blocks, packs = max(1, -(-n["n"] // ROWS)), max(1, -(-(n["q"] or 0) // QUERIES))
     turn = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    copies = Window.partitionBy("vec_id").orderBy("v")   # small: equal query rows are one by now
+    queries = rows.filter("q").select("vec_id", "v", "dim").distinct().withColumn("copy", F.row_number().over(copies))
     points = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), turn(packs).alias("pack"))
-    asks = rows.filter("q").select("vec_id", "v", "dim", turn(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(packs)).cast("int").alias("pack"))
+    asks = queries.select("vec_id", "copy", "v", "dim", turn(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(packs)).cast("int").alias("pack"))
 
     def meet(ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = [] if not len(ask) or not len(own) else nearest_in_block(
-            np.vstack(ask["v"].to_numpy()), ask["vec_id"].to_numpy(), np.vstack(own["v"].to_numpy()), own["vec_id"].to_numpy(), k, trees, miss, seed)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+            np.vstack(ask["v"].to_numpy()), ask["vec_id"].to_numpy(), ask["copy"].to_numpy(), np.vstack(own["v"].to_numpy()), own["vec_id"].to_numpy(), k, trees, miss, seed)
+        return pd.DataFrame(rows, columns=["query_id", "copy", "vec_id", "score"])
 
     keys = ["dim", "block", "pack"]
-    found = asks.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asks.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(meet, "query_id bigint, copy int, vec_id bigint, score double")
+    first = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -332,6 +332,25 @@ def test_warc_is_read_by_several_tasks(spark):
     assert sum(tasks) == 400 and len(tasks) > 4
 
 
+def test_forest_repeated_query_rows(spark, monkeypatch):
+    monkeypatch.setattr(forest, "ROWS", 60)   # several blocks and packs
+    monkeypatch.setattr(forest, "QUERIES", 3)
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(200)]
+    rows += [rows[0]] * 3 + [(50, rows[7][1]), (3, rows[3][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for a in forest.search(table, F.col("vec_id") % 50 == 0, trees=256, miss=0.0).collect():
+        got.setdefault(a.query_id, []).append((a["rank"], a.vec_id, a.score))
+    asked = {(i, tuple(v)) for i, v in rows if i % 50 == 0}
+    want: dict = {}
+    for i, v in asked:
+        best = sorted((-forest.exact_cosine(np.array(v), np.array(x)), j) for j, x in rows if j != i)[:5]
+        want.setdefault(i, []).extend((k + 1, j, -s) for k, (s, j) in enumerate(best))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    assert len(got[0]) == 5 and len(got[50]) == 10
+
+
 def test_forest(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((600, 16)).astype("float32").tolist()
