@@ -76,6 +76,42 @@ class Symbolic:
         return self.pattern().join(rows.select(F.col("id").alias("i")), "i", "left_semi").select("i", "j")
 
 
+def _inside(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(elem, front): elements of ``old`` whose members all lie in one of ``fresh``, and the least such one.
+
+    A hub lies in many elements of both sides, so these are not joined over every member: an element of one
+    member takes the least element that holds it; others are looked up by the member that the fewest new
+    elements hold, and only where sizes and bit masks of the members allow it are the members compared.
+    """
+    masks = [F.bit_or(F.expr(f"if(pmod(xxhash64(id), 256) div 64 = {k}, shiftleft(1L, cast(pmod(xxhash64(id), 64) as int)), 0L)")).alias(f"m{k}")
+             for k in range(4)]
+    held = fresh.groupBy("id").agg(F.count("*").alias("_held"), F.min("elem").alias("_least"))
+    shape = cut(old.join(held, "id", "left").groupBy("elem").agg(
+        F.count("*").alias("n"), F.count("_held").alias("_in"), F.min_by("id", F.struct("_held", "id")).alias("id"),
+        F.min("_least").alias("front"), *masks).filter("n = _in"))
+    wide = fresh.groupBy("elem").agg(F.count("*").alias("_n"), *[m.alias(f"_m{k}") for k, m in enumerate(masks)]).filter("_n > 1")
+    fits = (F.col("_n") >= F.col("n")) & (F.expr(" | ".join(f"(m{k} & ~_m{k})" for k in range(4))) == 0)
+    pairs = fresh.join(wide, "elem").withColumnRenamed("elem", "front").join(
+        shape.filter("n > 1").select("elem", "id", "n", "m0", "m1", "m2", "m3"), "id").filter(fits).select("elem", "front", "n")
+    whole = pairs.join(old, "elem").join(fresh.select(F.col("elem").alias("front"), "id"), ["front", "id"], "left_semi").groupBy(
+        "elem", "front", "n").agg(F.count("*").alias("c")).filter("c = n")
+    return shape.filter("n = 1").select("elem", "front").unionAll(whole.groupBy("elem").agg(F.min("front").alias("front")))
+
+
+def _covered(var: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(a, b): edges of ``var`` with both ends in one element of ``fresh``, looked up from the end in fewer of them.
+
+    Elements of one member cover no edge; a hub may lie in very many of them.
+    """
+    wide = fresh.join(fresh.groupBy("elem").agg(F.count("*").alias("_n")).filter("_n > 1").select("elem"), "elem", "left_semi")
+    held = wide.groupBy("id").agg(F.count("*").alias("n"))
+    ends = var.join(held.select(F.col("id").alias("a"), F.col("n").alias("_a")), "a").join(
+        held.select(F.col("id").alias("b"), F.col("n").alias("_b")), "b")
+    near = ends.select("a", "b", F.when(F.col("_a") <= F.col("_b"), F.col("a")).otherwise(F.col("b")).alias("id"),
+                       F.when(F.col("_a") <= F.col("_b"), F.col("b")).otherwise(F.col("a")).alias("far"))
+    return near.join(wide, "id").join(wide.select("elem", F.col("id").alias("far")), ["elem", "far"], "left_semi").select("a", "b").distinct()
+
+
 def eliminate(variables: DataFrame, var_edges: DataFrame | None = None, rows: DataFrame | None = None,
               fixed: bool = False, max_rounds: int = 100000) -> Symbolic:
     """Run eliminations on variables(id[, cls][, pos]).
@@ -124,16 +160,13 @@ def eliminate(variables: DataFrame, var_edges: DataFrame | None = None, rows: Da
         fresh = cut(fresh)
         old = memb.join(eaten.select("elem"), "elem", "left_anti")
         # an older element inside a new one says nothing more
-        total = old.groupBy("elem").agg(F.count("*").alias("n"))
-        inside = old.join(fresh.withColumnRenamed("elem", "front"), "id").groupBy("elem", "front").agg(F.count("*").alias("c")).join(
-            total, "elem").filter("c = n").groupBy("elem").agg(F.min("front").alias("front"))
+        inside = _inside(old, fresh)
         inside = cut(inside)
         old = old.join(inside.select("elem"), "elem", "left_anti")
         gone += [eaten, inside]
-        covered = var.join(fresh.select("elem", F.col("id").alias("a")), "a").join(
-            fresh.select("elem", F.col("id").alias("b")), ["elem", "b"], "left_semi").select("a", "b").distinct()
         dead = sel.select(F.col("s").alias("a"))
-        var = cut(var.join(dead, "a", "left_anti").join(dead.withColumnRenamed("a", "b"), "b", "left_anti").join(covered, ["a", "b"], "left_anti").select("a", "b"))
+        var = var.join(dead, "a", "left_anti").join(dead.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
+        var = cut(var.join(_covered(var, fresh), ["a", "b"], "left_anti").select("a", "b"))
         # supernodes: members tied to this one new element only
         many = old.select("id").unionAll(var.select(F.col("a").alias("id"))).unionAll(
             fresh.groupBy("id").count().filter("count > 1").select("id")).distinct()

@@ -138,3 +138,21 @@ def test_refreshed_pattern_equals_fresh_analysis(spark):
     changed = spark.createDataFrame([(j,) for _, j in lost], "id bigint")
     got = refreshed_pattern(cut(old), order, both(full - lost), changed)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fresh.collect()))
+
+
+def test_hub_elements_are_found_inside_without_joining_over_the_hub(spark):
+    """40000 leaves on one hub: their elements hold the hub alone; joined over it they made 1.6e9 rows a step"""
+    from loomgraph.operators.elimination import _covered, _inside, minimum_degree
+    leaves = spark.range(1, 40001).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"))
+    star = leaves.unionAll(leaves.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    assert minimum_degree(star, spark.range(40001)).totals().first()["lnz"] == 80001
+    rng = np.random.default_rng(4)
+    pick = lambda names, top: [(e, int(i)) for e in names for i in set(rng.integers(0, 12, rng.integers(1, top)))]
+    old, fresh = pick(range(100, 160), 5), pick(range(20), 10)
+    sets = lambda rows: {e: {i for f, i in rows if f == e} for e, _ in rows}
+    table = lambda rows: spark.createDataFrame(rows, "elem bigint, id bigint")
+    want = {e: min(f for f, t in sets(fresh).items() if s <= t) for e, s in sets(old).items() if any(s <= t for t in sets(fresh).values())}
+    assert {r.elem: r.front for r in _inside(table(old), table(fresh)).collect()} == want
+    pairs = [(a, b) for a in range(12) for b in range(12) if a != b and (a * b) % 3]
+    got = _covered(spark.createDataFrame(pairs, "a bigint, b bigint"), table(fresh)).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for a, b in pairs if any({a, b} <= t for t in sets(fresh).values())}
