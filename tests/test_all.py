@@ -212,3 +212,31 @@ def test_limits_that_are_hit_raise(spark):
         assert dense(3).count() == 3
         with pytest.raises(ValueError, match="3 nodes"):
             dense(2)
+
+
+def test_mesh_dual_meets_on_pairs_of_nodes(spark):
+    import random
+    from loomgraph.operators.traverse import mesh_to_dual
+    # 60000 elements of three nodes share node 0 and nothing else: over single nodes that made 3.6e9 pairs
+    hub = spark.range(1, 60001).select(F.col("id").alias("elem"), F.explode(F.array(F.lit(0), F.col("id") * 2, F.col("id") * 2 + 1)).alias("node"))
+    twin = spark.createDataFrame([(70000, 0), (70000, 2), (70000, 9000000)], "elem bigint, node bigint")
+    assert rows(mesh_to_dual(hub.unionAll(twin), 2)) == [(1, 70000), (70000, 1)]
+    draw = random.Random(3)
+    sets = {e: set(draw.sample(range(40), draw.choice([1, 2, 3, 4, 7, 20]))) for e in range(60)}
+    m = spark.createDataFrame([(e, n) for e, s in sets.items() for n in s] * 2, "elem bigint, node bigint")
+    for common in (1, 2, 3):
+        want = [(a, b) for a, s in sets.items() for b, t in sets.items() if a != b and s & t
+                and (len(s & t) >= common or len(s & t) >= min(len(s), len(t)) - 1)]
+        assert rows(mesh_to_dual(m, common)) == sorted(want)
+
+
+def test_power_iteration_makes_its_operator_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    e = edges(spark, [(a, b) for a in range(3) for b in range(3)], [2, -1, 0, -1, 2, -1, 0, -1, 2]).mapInArrow(passed, "src bigint, dst bigint, w double")
+    assert abs(T.largest_eigenvalue(e, spark.range(3), 30) - (2 + 2 ** .5)) < 1e-3
+    assert seen.value == 9
