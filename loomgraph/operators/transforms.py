@@ -470,6 +470,7 @@ def gdc(edges: DataFrame, nodes: DataFrame, coeffs: Sequence[float], eps: float,
 
 def largest_eigenvalue(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> float:
     """Power iteration on a symmetric (src, dst, w) operator; one scalar per round returns."""
+    edges = cut(edges.select("src", "dst", "w"))   # read by every round
     x = nodes.select("id", (mix.unit("id", seed=1) + 0.5).alias("v"))
     value = 0.0
     for k in range(rounds):
