@@ -156,3 +156,14 @@ def test_hub_elements_are_found_inside_without_joining_over_the_hub(spark):
     pairs = [(a, b) for a in range(12) for b in range(12) if a != b and (a * b) % 3]
     got = _covered(spark.createDataFrame(pairs, "a bigint, b bigint"), table(fresh)).collect()
     assert {(r.a, r.b) for r in got} == {(a, b) for a, b in pairs if any({a, b} <= t for t in sets(fresh).values())}
+
+
+def test_each_connected_part_is_a_front(spark):
+    m = np.zeros((7, 4))
+    m[:4, [0, 2]], m[4:, [1, 3]] = [[1, 2], [3, 1], [2, 2], [1, 5]], [[2, 1], [1, 1], [4, 1]]
+    qr = P.kept_qr(table(spark, m), sizes=SMALL)
+    assert {(r["id"], r["front"]) for r in qr.pivots.collect()} == {(0, 0), (2, 0), (1, 1), (3, 1)}
+    r = np.zeros((4, 4))
+    for x in qr.r.collect():
+        r[x["row_id"], x["col"]] = x["v"]
+    assert np.allclose(r.T @ r, m.T @ m) and np.allclose(r, np.triu(r))
