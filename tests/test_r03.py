@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.core.session import local_session
-from loomgraph.operators import pool
+from loomgraph.operators import pool, transforms
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +36,35 @@ def test_matching_in_few_rounds(spark, monkeypatch, in_one):
     got = pool.dominant_matching(edges, edges.select(F.col("src").alias("id")), [(-F.col("w")).alias("neg")])
     assert sorted(map(tuple, got.collect())) == greedy(rows)
     assert len(calls) < 60
+
+
+def pushes(rows, ids, alpha, eps):
+    out = {i: [d for s, d in rows if s == i] for i in ids}
+    got = {}
+    for root in ids:
+        p, r = {}, {root: alpha}
+        while hot := {i: x for i, x in r.items() if out[i] and x > alpha * eps * len(out[i])}:
+            for i, x in hot.items():
+                p[i] = p.get(i, 0) + x
+                r[i] -= x
+            for i, x in hot.items():
+                for d in out[i]:
+                    r[d] = r.get(d, 0) + (1 - alpha) * x / len(out[i])
+        got |= {(root, i): round(x, 9) for i, x in p.items()}
+    return got
+
+
+@pytest.mark.parametrize("part", [256, 5])
+def test_pushes_of_small_parts_need_no_joined_rounds(spark, monkeypatch, part):
+    monkeypatch.setattr(transforms, "PUSH_PART", part)
+    rnd = random.Random(3)
+    rows = [(10 * g + rnd.randrange(3 + g), 10 * g + rnd.randrange(3 + g)) for g in range(6) for _ in range(9)]
+    ids = [10 * g + k for g in range(6) for k in range(3 + g)]
+    cuts = []
+    real = transforms.cut
+    monkeypatch.setattr(transforms, "cut", lambda df: cuts.append(1) or real(df))
+    got = transforms.personalized_pagerank_push(spark.createDataFrame(rows, "src bigint, dst bigint"),
+                                                spark.createDataFrame([(i,) for i in ids], "id bigint"), 0.2, 1e-3).collect()
+    assert {(r.src, r.dst): round(r.w, 9) for r in got} == pushes(rows, ids, 0.2, 1e-3) and len({(r.src, r.dst) for r in got}) == len(got)
+    if part == 256:
+        assert len(cuts) < 6
