@@ -8,12 +8,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..core.ranges import rank_in_group, top_k
 from ..operators.temporal import both_ends
@@ -89,35 +86,29 @@ def run_degrees(spark: SparkSession, path: str) -> DataFrame:
 
 # stateful operators ----------------------------------------------------------------------------------------
 
-SALTS = 16  # a node's events spread over this many state keys
-
-
-def _keep_last(k: int):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = [tuple(r) for r in state.get[0]] if state.exists else []
-        for f in frames:
-            new = list(zip(f["t"].tolist(), f["e_id"].tolist(), f["other"].tolist()))
-            old = sorted(old + new, reverse=True)[:k]  # never more than k and one Arrow frame
-        state.update(([list(r) for r in old],))
-        yield pd.DataFrame({"node": key[0], "salt": key[1], "pos": range(len(old)), "t": [r[0] for r in old],
-                            "e_id": [r[1] for r in old], "other": [r[2] for r in old]})
-    return step
-
-
-def last_k(events: DataFrame, k: int) -> DataFrame:
-    """Latest k neighbours per (node, salt), kept in state as (t, e_id, other) lists.
+def run_last_k(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Latest k neighbours per node in (t, e_id) order.
 
-    The k latest of a node are among the k latest of its salts, so a hub splits over tasks.
+    The k latest of all rows are among those kept before and those of the new batch. The group limit
+    leaves k rows of a node in every task before they meet, so a hub splits over tasks. Each batch
+    writes its own state folder, so a replay rewrites the same rows.
     """
-    salted = both_ends(events).withColumn("salt", (F.col("e_id") % SALTS).cast("int"))
-    return salted.groupBy("node", "salt").applyInPandasWithState(
-        _keep_last(k), "node bigint, salt int, pos int, t bigint, e_id bigint, other bigint", "rows array<array<bigint>>",
-        "update", GroupStateTimeout.NoTimeout)
+    root = work_dir(spark)
+    state = "node bigint, other bigint, e_id bigint, t bigint"
+    latest = [F.col("t").desc(), F.col("e_id").desc(), F.col("other").desc()]
 
+    def merge(df: DataFrame, batch: int) -> None:
+        rows = both_ends(df).select("node", "other", "e_id", "t")
+        if batch > 0:
+            rows = rows.unionByName(df.sparkSession.read.schema(state).parquet(f"{root}/state/{batch - 1}"))
+        top_k(rows, ["node"], latest, k).drop("rank").write.mode("overwrite").parquet(f"{root}/state/{batch}")
+        last.append(batch)
 
-def run_last_k(spark: SparkSession, path: str, k: int) -> DataFrame:
-    parts = newest(drain(last_k(events_stream(spark, path), k), "update"), ["node", "salt", "pos"])
-    return top_k(parts, ["node"], [F.col("t").desc(), F.col("e_id").desc()], k).select("node", "other", "e_id")
+    last: list[int] = []
+    q = events_stream(spark, path).writeStream.foreachBatch(merge).option(
+        "checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(state).parquet(f"{root}/state/{max(last)}").select("node", "other", "e_id")
 
 
 def run_memory(spark: SparkSession, path: str, decay: float) -> DataFrame:

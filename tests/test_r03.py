@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.core.session import local_session
 from loomgraph.operators import pool, transforms
+from loomgraph.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +69,18 @@ def test_pushes_of_small_parts_need_no_joined_rounds(spark, monkeypatch, part):
     assert {(r.src, r.dst): round(r.w, 9) for r in got} == pushes(rows, ids, 0.2, 1e-3) and len({(r.src, r.dst) for r in got}) == len(got)
     if part == 256:
         assert len(cuts) < 6
+
+
+def test_streamed_last_neighbours_keep_no_python_state(spark, tmp_path):
+    """Several batches; a hub, equal times, and a plan without a Python state per key."""
+    rnd = random.Random(8)
+    rows = [(e, f"2024-01-{1 + rnd.randrange(9):02d} 00:00:00", rnd.randrange(4), rnd.choice(["click", "view"]), 1.0) for e in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    df.repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, jobs.run_last_k(spark, str(tmp_path), 3).collect()))
+    code, by = {"click": 1, "view": 9}, {}
+    for e, ts, u, kind, _ in rows:
+        for node, other in ((2 * u, code[kind]), (code[kind], 2 * u)):
+            by.setdefault(node, []).append((ts, e, other))
+    assert got == sorted((n, o, e) for n, x in by.items() for _, e, o in sorted(x, reverse=True)[:3])
+    assert not hasattr(jobs, "_keep_last")
