@@ -249,11 +249,16 @@ def partition_cut(edges: DataFrame, part: DataFrame) -> DataFrame:
 
 def check_graph(edges: DataFrame) -> DataFrame:
     """Loops, repeated edges, and edges whose reverse is missing or differs in weight."""
-    loops = edges.agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"))
-    dup = edges.groupBy("src", "dst").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated"))
-    rev = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w").distinct()
-    lone = edges.join(rev, ["src", "dst", "w"], "left_anti").agg(F.count("*").alias("unmatched"))
-    return loops.crossJoin(dup).crossJoin(lone)  # three one-row tables
+    ahead = F.coalesce(F.col("src") <= F.col("dst"), F.lit(True))
+    rows = edges.select(F.when(ahead, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(ahead, F.col("dst")).otherwise(F.col("src")).alias("b"), "w", ahead.alias("f"))
+    # dealt once by pair; both aggregates keep that layout
+    twin = rows.repartition("a", "b").groupBy("a", "b", "w").agg(F.count_if("f").alias("f"), F.count_if(~F.col("f")).alias("g"))
+    loop, known = F.col("a") == F.col("b"), F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("w").isNotNull()
+    lone = F.when(~known, F.col("f") + F.col("g")).when(loop | ((F.col("f") > 0) & (F.col("g") > 0)), 0).otherwise(F.col("f") + F.col("g"))
+    pair = twin.groupBy("a", "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"), F.sum(lone).alias("lone"))
+    more = F.greatest(F.col("f") - 1, F.lit(0)) + F.greatest(F.col("g") - 1, F.lit(0))
+    return pair.agg(F.coalesce(F.sum(F.when(loop, F.col("f"))), F.lit(0)).alias("loops"), F.coalesce(F.sum(more), F.lit(0)).alias("repeated"),
+                    F.coalesce(F.sum("lone"), F.lit(0)).alias("unmatched"))
 
 
 def fix_graph(edges: DataFrame) -> DataFrame:
