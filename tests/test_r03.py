@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.core.session import local_session
-from loomgraph.operators import pool, transforms
+from loomgraph.operators import pool, transforms, traverse
 from loomgraph.streaming import jobs
 
 
@@ -84,3 +84,25 @@ def test_streamed_last_neighbours_keep_no_python_state(spark, tmp_path):
             by.setdefault(node, []).append((ts, e, other))
     assert got == sorted((n, o, e) for n, x in by.items() for _, e, o in sorted(x, reverse=True)[:3])
     assert not hasattr(jobs, "_keep_last")
+
+
+def test_check_graph_reads_its_edges_once(spark):
+    rows = [(1, 2, 1.0), (2, 1, 1.0), (2, 1, 1.0), (1, 3, 1.0), (3, 1, 2.0), (4, 4, 1.0), (4, 4, None), (5, 6, None), (6, 5, None),
+            (None, 5, 1.0), (5, None, 1.0), (None, 5, 1.0), (7, 8, 0.0), (8, 7, -0.0), (9, 8, float("nan")), (8, 9, float("nan"))]
+    got = traverse.check_graph(spark.createDataFrame(rows, "src bigint, dst bigint, w double"))
+    assert tuple(got.first()) == (2, 3, 8)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_powers_read_their_edges_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(w):
+        seen.add(1)
+        return w
+
+    edges = spark.createDataFrame([(0, 1, .5), (1, 0, .5), (1, 2, 1.0)], "src bigint, dst bigint, w double").select("src", "dst", counted("w").alias("w"))
+    got = transforms.diffusion_powers(edges, spark.range(3), [1.0, 1.0, 1.0])
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 1.25), (0, 1, .5), (0, 2, .5), (1, 0, .5), (1, 1, 1.25), (1, 2, 1.0), (2, 2, 1.0)]
+    assert seen.value == 3
