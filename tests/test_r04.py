@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.core import mix
 from loomgraph.core.session import local_session
-from loomgraph.operators import sample
+from loomgraph.operators import matrix, sample
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +39,26 @@ def test_random_graph_walks_rows_without_stored_rounds(spark, monkeypatch, direc
                 want += [(i, at)] if directed else [(i, at), (at, i)]
     got = sample.gnp_edges(spark.createDataFrame([(i,) for i in ids], "id bigint"), 0.4, directed, 5, max_gap=3)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("pack", [1024, 3])
+@pytest.mark.parametrize("mode", [1, 0, -1])
+def test_products_lay_columns_out_by_row(spark, monkeypatch, pack, mode):
+    """Nulls, repeated entries and a crowded column; entries no longer meet in a join dealt by column."""
+    monkeypatch.setattr(matrix, "PACK", pack, raising=False)
+    rnd = random.Random(4)
+    rows = [(rnd.choice([*range(12), None]), rnd.choice([*range(9), None]), rnd.choice([1.0, 2.0, -3.0, None])) for _ in range(60)]
+    rows += [(i, 20, 1.0) for i in range(14)]
+    want = {}
+    for i, j, v in rows:
+        for i2, j2, v2 in rows:
+            if j is not None and j == j2 and j % 2 == 0 and not (mode < 0 and (i is None or i2 is None or i == i2)):
+                p = None if v is None or v2 is None else v * v2
+                old = want.get((i, i2))
+                want[i, i2] = old if p is None else p + (old or 0)
+    fset = spark.createDataFrame([(k,) for k in range(0, 30, 2)], "id bigint")
+    got = matrix.aat(spark.createDataFrame(rows, "i bigint, j bigint, v double"), fset, mode)
+    rows = list(map(tuple, got.collect()))
+    assert len(set(r[:2] for r in rows)) == len(rows)
+    assert set(rows) == ({(*k, v) for k, v in want.items()} if mode > 0 else set(want))
+    assert "rangepartitioning" in got._jdf.queryExecution().executedPlan().toString()
