@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..core.ranges import rank_in_group, running, top_k
 from ..core.session import cut
 
+FEW = 50_000   # query entries that go to every task; a task holds its rows' pairs with their queries
 ROOTS = {"SQRT": 0.5, "POW25": 0.25, "POW65": 0.65, "POW75": 0.75, "POW85": 0.85}  # fixed exponents
 
 
@@ -102,18 +103,24 @@ def split_by_color(a: DataFrame, color: Column) -> DataFrame:
 def similar_rows(a: DataFrame, queries: DataFrame, top: int, kind: str = "COS", min_sim: float = 0.0) -> DataFrame:
     """Best rows of ``a`` for each query row q of ``queries(q, j, v)``.
 
-    An inverted-index join on the shared columns. COS is the dot product (rows are taken as
-    unit length), JAC divides by the remaining squared norms, MIN and AMIN use minima. Terms
-    merge map-side per (q, i); nothing pairs rows of ``a`` with each other.
+    COS is the dot product (rows are taken as unit length), JAC divides by the remaining squared norms, MIN and
+    AMIN use minima. Nothing pairs rows of ``a`` with each other. Up to ``FEW`` query entries go to every task, where
+    ``a`` is dealt by row, so terms of a (q, i) are summed where they are made. More of them meet ``a`` in an
+    inverted-index join on the shared columns, and sums merge in a shuffle.
     """
     if kind in ("COS", "JAC"):
         term, mass = F.col("v") * F.col("_q"), lambda c: c * c
     else:
         term, mass = F.least("v", "_q"), lambda c: c
-    dots = a.join(queries.select("q", "j", F.col("v").alias("_q")), "j").groupBy("q", "i").agg(F.sum(term).alias("s"))
+    asked = queries.select("q", "j", F.col("v").alias("_q"))
+    few = asked.limit(FEW + 1).count() <= FEW
+    near = F.broadcast if few else (lambda df: df)
+    if few:
+        a = a.repartition("i")
+    dots = a.join(near(asked), "j").groupBy("q", "i").agg(F.sum(term).alias("s"))
     if kind != "COS":
         qn = queries.groupBy("q").agg(F.sum(mass(F.col("v"))).alias("_qn"))
-        dots = dots.join(qn, "q")
+        dots = dots.join(near(qn), "q")
         if kind == "AMIN":
             sim = F.col("s") / F.col("_qn")
         else:

@@ -1,13 +1,14 @@
 """Regressions of the fourth round: random graphs, products and row similarity at size."""
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.core import mix
 from loomgraph.core.session import local_session
-from loomgraph.operators import matrix, sample
+from loomgraph.operators import matrix, sample, textmatrix
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,30 @@ def test_products_lay_columns_out_by_row(spark, monkeypatch, pack, mode):
     assert len(set(r[:2] for r in rows)) == len(rows)
     assert set(rows) == ({(*k, v) for k, v in want.items()} if mode > 0 else set(want))
     assert "rangepartitioning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [50_000, 2])
+@pytest.mark.parametrize("kind", ["COS", "JAC", "MIN", "AMIN"])
+def test_similar_rows_are_summed_where_rows_lie(spark, monkeypatch, few, kind):
+    """Nulls on either side; no sum of a (query, row) is dealt out again while the queries are few."""
+    monkeypatch.setattr(textmatrix, "FEW", few, raising=False)
+    rnd = random.Random(6)
+    a = {(i, j): float(rnd.randrange(1, 5)) for i in [*range(25), None] for j in "abcdefg" if rnd.random() < .5}
+    q = {(k, j): float(rnd.randrange(1, 5)) for k in range(4) for j in "abcdefgz" if rnd.random() < .6}
+    mass = (lambda v: v * v) if kind == "JAC" else (lambda v: v)
+    term = min if "MIN" in kind else (lambda x, y: x * y)
+    want = []
+    for k in range(4):
+        best = []
+        for i in [*range(25), None]:
+            s = [term(v, q[k, j]) for (x, j), v in a.items() if x == i and (k, j) in q]
+            if not s or (i is None and kind in ("JAC", "MIN")):
+                continue
+            rn, qn = sum(mass(v) for (x, _), v in a.items() if x == i), sum(mass(v) for (x, _), v in q.items() if x == k)
+            best.append((-{"COS": sum(s), "AMIN": sum(s) / qn}.get(kind, sum(s) / ((rn + qn - sum(s)) or 1)), i is not None, i or 0, i))
+        want += [(k, i, r, round(-s, 9)) for r, (s, _, _, i) in enumerate(sorted(best)[:3])]
+    got = textmatrix.similar_rows(spark.createDataFrame([*((*k, v) for k, v in a.items()), (99, None, 9.0)], "i bigint, j string, v double"),
+                                  spark.createDataFrame([(*k, v) for k, v in q.items()], "q bigint, j string, v double"), 3, kind)
+    assert sorted(((r.q, r.i, r.rank, round(r.sim, 9)) for r in got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert bool(re.search(r"hashpartitioning\(q#\d+L?, i#", plan)) == (few == 2)
