@@ -1,6 +1,7 @@
 """Feature, position and structure transforms on graph tables."""
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -532,18 +533,25 @@ def gdc(edges: DataFrame, nodes: DataFrame, coeffs: Sequence[float], eps: float,
     return transition(sparsify_threshold(diffusion_powers(t, nodes, coeffs), eps), norm_out)
 
 
-def largest_eigenvalue(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> float:
-    """Power iteration on a symmetric (src, dst, w) operator; one scalar per round returns."""
+def largest_eigenvalue(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> float:
+    """Power iteration on a symmetric (src, dst, w) operator until its value settles, or for ``rounds``; one scalar
+    per round returns."""
     edges = cut(edges.select("src", "dst", "w"))   # read by every round
     x = nodes.select("id", (mix.unit("id", seed=1) + 0.5).alias("v"))
-    value = 0.0
-    for k in range(rounds):
+    value, last = 0.0, None
+    for _ in itertools.count() if rounds is None else range(rounds):
         y = edges.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("w") * F.col("v")).alias("y"))
         y = cut(y)
+        if last is not None:
+            release(last)
+        last = y
         size = math.sqrt(y.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 0.0)
-        if size == 0 or abs(size - value) < 1e-9 * size:
-            return size
+        if size == 0 or math.isnan(size) or abs(size - value) < 1e-9 * size:
+            break
         value = size
         x = y.select("id", (F.col("y") / size).alias("v"))
-    return value
+    release(edges)
+    if last is not None:
+        release(last)
+    return size if last is not None else value

@@ -298,7 +298,7 @@ def personalized_pagerank(t):
 def laplacian_lambda_max(t):
     from ..operators.reduce import get_laplacian
     lap = get_laplacian(t.spu, t.sp_nodes, "sym")
-    value = T.largest_eigenvalue(lap, t.sp_nodes, 12)
+    value = T.largest_eigenvalue(lap, t.sp_nodes)
     return t.sp_nodes.limit(1).select(F.round(F.lit(value), 4).alias("lambda_max"))
 
 
