@@ -142,7 +142,7 @@ def nested_dissection_classes(t):
 @query()
 def nested_dissection(t):
     e = tree_edges(t)
-    return E.nested_dissection(e, ids_of(e), 1).order()
+    return E.nested_dissection(e, ids_of(e)).order()
 
 
 # customers of the orders filed in a heap-numbered tree of 127 nodes: subtrees below 400 members, or with half of them on top, are one
