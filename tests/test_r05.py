@@ -2,12 +2,13 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.core.session import cut, local_session, release
 from loomgraph.operators import elimination as E
-from loomgraph.operators import matrix
+from loomgraph.operators import factor, matrix
 from loomgraph.operators import transforms as T
 from loomgraph.operators.edges import both_ways
 
@@ -64,3 +65,58 @@ def test_shuffle_files_go_with_the_cut(spark):
     assert not shuffles() - before
     assert kept.count() == 7 and sorted(r.n for r in df.collect()) == [142] + [143] * 6
     release(kept)
+
+
+def fronts(rnd, kinds=60):
+    """Small fronts, some with dead columns, some without rows: {front: (rows x columns, ids, pivots)}."""
+    made = {}
+    for f in range(kinds):
+        p, q, m = rnd.integers(1, 4), rnd.integers(0, 3), rnd.integers(0, 7)
+        a = rnd.standard_normal((m, p + q))
+        if p > 1 and f % 3 == 0:
+            a[:, 1] = a[:, 0]
+        made[f] = a, rnd.permutation(50)[:p + q], p
+    return made
+
+
+@pytest.mark.parametrize("alone", [1 << 12, 4])
+def test_fronts_of_a_task_share_householder_steps(monkeypatch, alone):
+    monkeypatch.setattr(factor, "ALONE", alone, raising=False)
+    made, steps, norm = fronts(np.random.default_rng(1)), [], np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda *a, **k: steps.append(1) or norm(*a, **k))
+    plan = pd.DataFrame([(f, 100 + f, ids[k], k) for f, (_, ids, p) in made.items() for k in range(p)], columns=["front", "parent", "id", "k"])
+    rows = pd.DataFrame([(f, 7 * r - 20, ids[c], a[r, c]) for f, (a, ids, _) in made.items() for r in range(len(a)) for c in range(len(ids))],
+                        columns=["front", "row", "col", "v"])
+    got = factor._front_qr(1e-9)(rows.sample(frac=1, random_state=1), plan.sample(frac=1, random_state=2))
+    assert alone == 4 or len(steps) < len(plan)
+    for f, (a, ids, p) in made.items():
+        own, up = got[(got.kind == "r") & (got.front == f)], got[(got.kind == "up") & (got.front == 100 + f)]
+        at = {int(x): k for k, x in enumerate(ids)}
+        full = np.zeros((len(own) + len(up), len(ids)))
+        for k, (_, g) in enumerate([*own.groupby("row"), *up.groupby("row")]):
+            full[k, [at[c] for c in g.col]] = g.v
+        assert np.allclose(full.T @ full, a.T @ a) and (own[own.row == own.col].v > 0).all()
+        rank = np.linalg.matrix_rank(a[:, :p]) if a.size else 0
+        assert own.row.nunique() == rank and len(got[(got.kind == "dead") & (got.front == f)]) == p - rank
+
+
+def test_fronts_of_a_task_share_cholesky_calls(monkeypatch):
+    rnd, calls, plain = np.random.default_rng(3), [], np.linalg.cholesky
+    monkeypatch.setattr(np.linalg, "cholesky", lambda m: calls.append(len(m)) or plain(m))
+    entries, plan, want = [], [], {}
+    for f in range(80):
+        n, p = 3, 1 + f % 2
+        ids = np.sort(rnd.permutation(50)[:n])
+        b = rnd.standard_normal((n, 5))
+        want[f] = b @ b.T, {int(x): k for k, x in enumerate(ids)}
+        plan += [(f, 200 + f, ids[k], k if k < p else -1) for k in range(n)]
+        entries += [(f, ids[j], ids[i], want[f][0][i, j]) for i in range(n) for j in range(i + 1)]
+    got = factor._front_chol(pd.DataFrame(entries, columns=["front", "i", "j", "v"]).sample(frac=1, random_state=1),
+                             pd.DataFrame(plan, columns=["front", "parent", "id", "k"]).sample(frac=1, random_state=2))
+    assert calls == [40, 40]
+    for f, (s, at) in want.items():
+        l, up = np.zeros((3, 3)), np.zeros((3, 3))
+        for part, kind, front in ((l, "l", f), (up, "up", 200 + f)):
+            x = got[(got.kind == kind) & (got.front == front)]
+            part[[at[i] for i in x.i], [at[j] for j in x.j]] = x.v
+        assert np.allclose(l @ l.T + up + np.tril(up, -1).T, s)
