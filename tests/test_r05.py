@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.core.session import cut, local_session, release
 from loomgraph.operators import elimination as E
-from loomgraph.operators import factor, matrix
+from loomgraph.operators import factor, matrix, panels
 from loomgraph.operators import transforms as T
 from loomgraph.operators.edges import both_ways
 
@@ -120,3 +120,26 @@ def test_fronts_of_a_task_share_cholesky_calls(monkeypatch):
             x = got[(got.kind == kind) & (got.front == front)]
             part[[at[i] for i in x.i], [at[j] for j in x.j]] = x.v
         assert np.allclose(l @ l.T + up + np.tril(up, -1).T, s)
+
+
+def test_steps_take_the_panels_that_a_stack_holds(spark):
+    """Two panels a step, then one: R, Q' and Q agree with the matrix; by default all of them are one step."""
+    r = np.random.default_rng(2)
+    m = r.standard_normal((30, 11)) * (r.random((30, 11)) < 0.7)
+    m[:11] += np.eye(11)
+    m[:, 6] = m[:, 2]
+    a = cut(table(spark, [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))]))
+    y = cut(table(spark, [(i, 0, float(i % 5)) for i in range(30)], "i bigint, c bigint, v double"))
+    assert panels.Sizes(panel=4, rows=8, fan=2).width >= 11
+    qr = panels.kept_qr(a, tol=1e-9, sizes=panels.Sizes(panel=4, rows=8, fan=2, held=128))
+    rr = np.zeros((11, 11))
+    for x in qr.r.collect():
+        rr[x.row_id, x.col] = x.v
+    assert np.allclose(rr.T @ rr, m.T @ m) and qr.dead.count() == 1 and len(qr.levels[0].nodes) == 2
+    back = {x.i: x.v for x in panels.apply_q(qr, *panels.apply_qt(qr, y)).collect()}
+    assert np.allclose([back.get(i, 0.0) for i in range(30)], [i % 5 for i in range(30)])
+    f = r.standard_normal((90, 70))
+    f[:, 40] = f[:, 3]
+    v, t, live = panels.reflect(f, 1e-9)
+    q = np.eye(90) - v @ t @ v.T
+    assert np.allclose(q @ q.T, np.eye(90)) and live == [k for k in range(70) if k != 40] and np.allclose((q.T @ f)[69:], 0)
